@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, warc
+from . import bpe, media, packing, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
+    "op2_secrets": secrets.op2_secrets,
+    "op6_packing": packing.op6_packing,
     "op9_warc": warc.op9_warc,
     "op10_bpe": bpe.op10_bpe,
 }

@@ -187,15 +187,15 @@ WITH keyed AS (
 ), grouped AS (
   SELECT *, max(page_id) OVER (PARTITION BY hex) AS kept, count(*) OVER (PARTITION BY hex) AS members FROM keyed
 ), bits AS (
-  SELECT *, list_reduce(list_transform(range(0, 40), i ->
+  SELECT *, list_reduce(list_transform(range(0, 40), lambda i:
     substr('0000000100100011010001010110011110001001101010111100110111101111', instr('0123456789abcdef', substr(hex, i + 1, 1)) * 4 - 3, 4)),
-    (a, b) -> a || b) AS b FROM grouped
+    lambda a, b: a || b) AS b FROM grouped
 )
 SELECT page_id, n::BIGINT AS payload_bytes,
-  list_reduce(list_transform(range(0, 32), i ->
+  list_reduce(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (CAST(substr(b, i * 5 + 1, 1) AS INT) * 16 + CAST(substr(b, i * 5 + 2, 1) AS INT) * 8 + CAST(substr(b, i * 5 + 3, 1) AS INT) * 4
-     + CAST(substr(b, i * 5 + 4, 1) AS INT) * 2 + CAST(substr(b, i * 5 + 5, 1) AS INT)) + 1, 1)), (a, b) -> a || b) AS payload_digest,
+     + CAST(substr(b, i * 5 + 4, 1) AS INT) * 2 + CAST(substr(b, i * 5 + 5, 1) AS INT)) + 1, 1)), lambda a, b: a || b) AS payload_digest,
   CASE WHEN members > 1 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN members > 1 AND page_id <> kept THEN kept END AS refers_to
 FROM bits
