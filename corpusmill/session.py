@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +32,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusmill_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="corpusmill-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(path := f"{folder}/corpusmill.zip", "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(path)
+    sc._corpusmill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; only columns that the plan uses are read."""
     if name not in TABLES:
