@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, quality, secrets, toxicity, warc
+from . import bpe, media, packing, quality, secrets, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
     "op2_secrets": secrets.op2_secrets,
     "op3_quality": quality.op3_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op4_topk": topk.op4_topk,
     "op6_packing": packing.op6_packing,
     "op9_warc": warc.op9_warc,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_warc": warc.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_topk": topk.OP4_SQL, "op9_warc": warc.OP9_SQL}
