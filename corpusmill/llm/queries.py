@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, quality, secrets, substring, topk, toxicity, warc
+from . import bpe, jaccard, media, packing, quality, secrets, substring, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": topk.op4_topk,
     "op5_substring": substring.op5_substring,
     "op6_packing": packing.op6_packing,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_warc": warc.op9_warc,
     "op10_bpe": bpe.op10_bpe,
 }
