@@ -14,25 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import bound_batches, pack, stored, texts_of, unpack
-from .wordhash import BASE_A, WORD, Runs, Words
+from .runtime import bound_batches, marked, pack, stored, texts_of, unpack
+from .wordhash import BASE_A, Runs, hashes_of
 
 SHINGLE, PERCENT = 5, 75
 #: Members from which a list is long; shingles that a task counts at a time; counts in such a unit, and in all, from which one is frequent;
-#: frequent shingles that the order knows at most (its choice affects speed, never links); bits of the set that marks documents.
-LONG, UNIT, OFTEN, FREQUENT, KNOWN, MARKS = 128, 4_000_000, 3, 32, 1 << 17, 1 << 23
+#: frequent shingles that the order knows at most (its choice affects speed, never links).
+LONG, UNIT, OFTEN, FREQUENT, KNOWN = 128, 4_000_000, 3, 32, 1 << 17
 #: Prefix entries that a bucket holds, about.
 BUCKET = 1_000_000
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text: str, words: Words, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles; of its whole sequence where it has fewer words; none without words."""
-    hashes = words.hashes(WORD.findall(text.lower() if text.isascii() else text.translate(LOWER)))
+    hashes = hashes_of(text.encode().lower().split())  # bytes: only A to Z change, only the ASCII white space splits
     if not len(hashes):
         return np.zeros(0, np.uint64)
     return np.unique(Runs(hashes, BASE_A).all(min(size, len(hashes))))
@@ -47,7 +46,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """The shingles that most sets hold, KNOWN at most, from counts over all documents; equal sets of a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, seen, n = Words(), [], set(), 0
+        held, seen, n = [], set(), 0
 
         def counted() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
@@ -56,7 +55,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
         for batch in batches:
             for text in texts_of(batch):
-                s = shingles(text, words, size)
+                s = shingles(text, size)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if len(s) and key not in seen:
                     seen.add(key)
@@ -82,11 +81,11 @@ def prefixes(docs: DataFrame, known: np.ndarray, size: int, percent: int) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(known)  # KNOWN numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, often = Words(), shared.value
+        often = shared.value
         for batch in batches:
             rows = []
             for text in texts_of(batch):
-                s = shingles(text, words, size)
+                s = shingles(text, size)
                 if not len(s):
                     rows.append((0, None, None, 0, None))
                     continue
@@ -183,17 +182,12 @@ def _bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
 
 
 def set_table(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node and its sorted shingles, for documents in nodes(node) only. Which texts to shuffle for that, a set of MARKS bits tells."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(MARKS))
-    marked = nodes.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
-    likely = docs.withColumn("word", (mine / 64).cast("int")).join(F.broadcast(marked), "word")  # MARKS / 64 rows at most
-    likely = likely.filter(f"(shiftrightunsigned(bits, cast(pmod(xxhash64(doc_id), {MARKS}) % 64 as int)) & 1) = 1")
+    """node and its sorted shingles, for documents in nodes(node) only; no other text is shuffled, but for few that are marked by chance."""
+    likely = marked(docs, F.col("doc_id"), nodes.select("node")).filter("_marked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words, size).tobytes() for t in texts_of(batch)], pa.binary())], names=["node", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in texts_of(batch)], pa.binary())], names=["node", "data"])
 
     wanted = likely.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
     return wanted.mapInArrow(run, "node long, data binary")
@@ -304,5 +298,17 @@ def _open(lists: DataFrame) -> DataFrame:
     return lists.join(several, ["what", "list"])
 
 
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """docs without those that have a smaller doc_id in their component; of rows that share a doc_id the one with the smallest text stays. Rows
+    with a null doc_id all stay. Only rows with an id that goes, or that is repeated, are shuffled with their texts."""
+    where = stored(similar_documents(docs), "components")
+    gone = where.filter("component_id < doc_id").select("doc_id").distinct()
+    repeated = where.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    rows = marked(docs, F.col("doc_id").cast("long"), gone.union(repeated))
+    order = Window.partitionBy("doc_id").orderBy("text")
+    kept = rows.filter("_marked and doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("_row", F.row_number().over(order)).filter("_row = 1")
+    return rows.filter("not _marked or doc_id is null").select(*docs.columns).unionByName(kept.select(*docs.columns))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -190,6 +190,29 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return features.mapInArrow(run, "doc_id long, score double")
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """docs whose score is at least least, with all their columns. Word vectors come from all of docs; the network learns from the sample rows
+    of labels with the smallest hashes, whose documents alone are read for that; then every document is scored where it is read."""
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    vectors = word_vectors(docs)
+    known = labels.filter("doc_id is not null and label is not null").select("doc_id", "label").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).collect()
+    chosen = spark.createDataFrame(chosen, "doc_id long, label int")
+    few = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # sample rows at most
+    net = learn(document_vectors(few, vectors), chosen, sample)
+    shared = spark.sparkContext.broadcast(vectors)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            x = np.array([pooled(buckets(t), shared.value) for t in texts], np.float64).reshape(len(texts), -1)
+            yield batch.filter(pa.array(net.probabilities(x) >= least if texts else np.zeros(0, bool), pa.bool_()))
+
+    bound_batches(spark)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_labels(spark: SparkSession, sf_dir: str, column: str, modulus: int, held_out: int) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return labels.filter(remainder(F.col("doc_id"), modulus) != held_out).select("doc_id", F.col(column).alias("label"))

@@ -129,6 +129,21 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+#: Bits of the sets that mark rows by a key.
+MARKS = 1 << 23
+
+
+def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """df with a column _marked: true for every row whose key (long) is among keys(key), and for few others. The keys become a set of MARKS
+    bits, 64 a row, so what is broadcast has a fixed bound however many keys there are; rows marked needlessly must be sorted out by a join."""
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(MARKS))
+    bit = F.expr("shiftleft(1L, cast(_b % 64 as int))")
+    bits = keys.select(place(keys.columns[0]).alias("_b")).groupBy((F.col("_b") / 64).cast("int").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    found = df.withColumn("_b", place(key)).withColumn("_word", (F.col("_b") / 64).cast("int")).join(F.broadcast(bits), "_word", "left")
+    hit = F.expr("(shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1) = 1")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(hit, F.lit(False)).alias("_marked"))
+
+
 def tree_sum(parts: DataFrame, fan_in: int = 16) -> DataFrame:
     """Adds up rows (slice int, part int, data binary): arrays of one dtype (int64) and, per slice, one length. Groups hold fan_in rows at
     most and each level has a fan_in-th of the rows before, so no task gathers what all partitions made. Columns: slice, data."""

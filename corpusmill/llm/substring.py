@@ -17,15 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, stored, texts_of
-from .wordhash import BASE_A, BASE_B, BASE_C, WORD, Runs, Words
+from .runtime import bound_batches, marked, stored, texts_of
+from .wordhash import BASE_A, BASE_B, BASE_C, WORD, Runs, hashes_of, words_of
 
 #: Words of a window, and of the runs that anchors are chosen from; the window must hold at most 63 of them.
 WINDOW, ANCHOR = 35, 12
 #: Bits of a sketch row's width, and anchors that a task gathers before it adds them up.
 WIDTH_BITS, GATHER = 36, 4_000_000
-#: Bits of the set that marks documents with repeated anchors; a mark too many costs time, not results.
-MARKS = 1 << 23
+
+
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """Where the least of each size neighbours stands, the first of equals: from windows that double, then two that overlap."""
+    least, at, width, n = values, np.arange(len(values)), 1, len(values) - size + 1
+    while 2 * width <= size:
+        later = least[width:] < least[:-width]
+        least, at, width = np.where(later, least[width:], least[:-width]), np.where(later, at[width:], at[:-width]), 2 * width
+    off = size - width
+    return np.where(least[off : off + n] < least[:n], at[off : off + n], at[:n])
 
 
 def runs_by_anchor(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,7 +42,7 @@ def runs_by_anchor(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHO
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     short = Runs(hashes, BASE_A).all(anchor)
-    at = np.lib.stride_tricks.sliding_window_view(short, window - anchor + 1).argmin(1) + np.arange(n)
+    at = _least(short, window - anchor + 1)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     return first, np.diff(np.concatenate([first, [n]])), short[at[first]]
 
@@ -49,7 +57,7 @@ def sketch(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """The merged sketch's cells: cell, n. One row per cell that anything fell into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = Words(), [], 0
+        held, n = [], 0
 
         def counted() -> pa.RecordBatch:
             found, times = np.unique(cells(np.concatenate(held)), return_counts=True)
@@ -57,7 +65,7 @@ def sketch(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
         for batch in batches:
             for text in texts_of(batch):
-                anchors = runs_by_anchor(words.hashes(WORD.findall(text)), window, anchor)[2]
+                anchors = runs_by_anchor(hashes_of(words_of(text)), window, anchor)[2]
                 held.append(anchors)
                 n += len(anchors)
             if n > GATHER:
@@ -73,9 +81,8 @@ def anchors_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """key and anchor, once a document and anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            found = [np.unique(runs_by_anchor(words.hashes(WORD.findall(t)), window, anchor)[2]) for t in texts_of(batch)]
+            found = [np.unique(runs_by_anchor(hashes_of(words_of(t)), window, anchor)[2]) for t in texts_of(batch)]
             keys = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64), pa.int64())], names=["key", "anchor"])
 
@@ -89,12 +96,11 @@ def spans_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """Runs of windows with anchors that are estimated repeated. docs: key, id, text, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             keys, ids, texts, wanted = (batch.column(i).to_pylist() for i in range(4))
             out: list[list] = [[] for _ in range(6)]
             for key, id_, text, anchors in zip(keys, ids, texts, wanted):
-                hashes = words.hashes(WORD.findall(text))
+                hashes = hashes_of(words_of(text))
                 first, n, found = runs_by_anchor(hashes, window, anchor)
                 hot = np.flatnonzero(np.isin(found.astype(np.int64), np.array(anchors, np.int64)))
                 if not len(hot):
@@ -136,15 +142,15 @@ def _finish(docs: DataFrame, keep: list[str], window: int, with_text: bool) -> D
         for batch in batches:
             rows = []
             for text, marks in zip(texts_of(batch, "_text"), batch.column(batch.num_columns - 1).to_pylist()):
-                words = WORD.findall(text)
+                words = words_of(text)
                 change = np.zeros(len(words) + 1, np.int64)
                 for mark in marks or ():
                     starts = mark["first"] + np.flatnonzero([(mark["bits"] >> i) & 1 for i in range(64)])
                     np.add.at(change, starts, 1)
                     np.add.at(change, starts + window, -1)
                 gone = np.cumsum(change)[:-1] > 0
-                left = " ".join([w for w, g in zip(words, gone) if not g]) if marks else " ".join(words)
-                row = (len(words), int(gone.sum()), hashlib.sha256(left.encode()).hexdigest())
+                left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if marks else words)
+                row = (len(words), int(gone.sum()), hashlib.sha256(left).hexdigest())
                 rows.append((*row, without(text, gone)) if with_text else row)
             kinds = [pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_text
             columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)]
@@ -171,12 +177,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     likely = likely.withColumn("cell", second_row).join(hot, "cell", "left_semi")
     likely = stored(likely.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "likely")
 
-    # Which documents to look at again: a set of MARKS bits, 64 a row, so its size is bounded whatever the number of documents.
-    bit = F.pmod("key", F.lit(MARKS))
-    marked = likely.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    looked = docs.withColumn("word", (bit / 64).cast("int")).join(F.broadcast(marked), "word", "left")
-    looked = looked.withColumn("again", F.coalesce(F.expr(f"(shiftrightunsigned(bits, cast(pmod(key, {MARKS}) % 64 as int)) & 1) = 1"), F.lit(False)))
-    again = looked.filter("again").select(*docs.columns)
+    looked = marked(docs, F.col("key"), likely.select("key"))
+    again = looked.filter("_marked").select(*docs.columns)
     spans = stored(spans_of(again.join(likely, "key"), window, anchor), "spans")
 
     # Equal runs first; only where an anchor has several different runs must their windows be counted one by one.
@@ -193,7 +195,15 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     marks = marks.groupBy("key", "id").agg(F.collect_list(F.struct("first", "bits")).alias("marks"))
     joined = again.alias("d").join(marks.alias("m"), F.expr("d.key = m.key and d.id <=> m.id"), "left").select("d.*", "m.marks")
     none = F.lit(None).cast("array<struct<first:int,bits:bigint>>").alias("marks")
-    return _finish(joined, keep, window, with_text).unionByName(_finish(looked.filter("not again").select(*docs.columns, none), keep, window, with_text))
+    return _finish(joined, keep, window, with_text).unionByName(_finish(looked.filter("not _marked").select(*docs.columns, none), keep, window, with_text))
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the words of repeated windows taken out of text, and n_chars (if there) set anew; other texts stay as they are, null becomes
+    empty."""
+    out = remove_repeats(docs, keep=docs.columns, with_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,26 +14,13 @@ BASE_A, BASE_B, BASE_C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD6
 MASK = (1 << 64) - 1
 
 
-class Words(dict):
-    """Numbers of words, and their hashes; it forgets what it knows once that is very much."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most, self.table = most, np.empty(1024, np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.table):
-            self.table = np.concatenate([self.table, np.empty(i, np.uint64)])
-        self.table[i] = xxhash.xxh3_64_intdigest(word.encode())
-        self[word] = i
-        return i
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        numbers = np.array([self[w] for w in words], np.int64)
-        return self.table[numbers]
+def words_of(text: str) -> list[bytes]:
+    """The words of a text in UTF-8: bytes.split() splits at just the characters that end words."""
+    return text.encode().split()
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
 
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
