@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import table
-
-FLAGSHIP = "word_stats_by_lang"
+FLAGSHIP = "bm25_gate_status"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -25,9 +23,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "word_stats_by_lang",
-    "SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang",
-)
-def word_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg({"*": "count", "n_chars": "sum"}).toDF("lang", "documents", "chars")
+# The modules register their queries as they are imported; what stands above must be there by then.
+from .plans import queries, queries_more  # noqa: E402, F401

@@ -12,7 +12,7 @@ K1, B, RRF = 1.5, 0.75, 60
 def parse_number(x: Column) -> Column:
     """A number as people write it: spaces are grouping; with comma and point commas are too; a comma alone is the decimal mark, so that
     1,234 is 1.234. Null for anything else, names of non-numbers and underscores among it."""
-    t = F.replace(F.replace(F.trim(x.cast("string")), F.lit(" "), F.lit("")), F.lit(" "), F.lit(""))
+    t = F.replace(F.replace(F.trim(x.cast("string")), F.lit("\u00a0"), F.lit("")), F.lit(" "), F.lit(""))
     t = F.when(t.contains(",") & t.contains("."), F.replace(t, F.lit(","), F.lit(""))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
     return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
 

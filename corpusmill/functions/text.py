@@ -43,7 +43,7 @@ def tokens(x: Column) -> Column:
 
 def clean_profile_a(x: Column) -> Column:
     """Soft hyphens and NULs out, hyphenated line ends joined, blanks squeezed, at most one blank line, stripped."""
-    x = F.regexp_replace(x, "[­\u0000]", "")
+    x = F.regexp_replace(x, "[\u00ad\u0000]", "")
     x = F.regexp_replace(x, r"(?U)(\w)-\n(\w)", "$1$2")
     x = F.regexp_replace(x, r"[ \t\f\x0B]+", " ")
     x = F.regexp_replace(x, r" *\n *", "\n")
@@ -137,8 +137,9 @@ def trim_to_limit(x: Column, limit: int) -> Column:
     limit words, marks at the end taken off and a full stop set (hard)."""
     parts = sentences(x)
     counts = F.transform(parts, word_count)
-    fits = lambda n: F.aggregate(F.slice(counts, 1, n), F.lit(0).cast("long"), lambda a, c: a + c) <= limit
-    most = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size(parts)), fits)), F.lit(1))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("fit"))
+    add = lambda s, c: F.struct((s["total"] + c).alias("total"), (s["fit"] + (s["total"] + c <= limit).cast("int")).alias("fit"))
+    most = F.greatest(F.aggregate(counts, start, add)["fit"], F.lit(1))
     kept = F.array_join(F.slice(parts, 1, most), " ")
     cut = F.regexp_replace(F.array_join(F.slice(words(kept), 1, limit), " "), "[,;:-]+$", "")
     hard = F.when(cut.rlike("[.?]$"), cut).otherwise(F.concat(cut, F.lit(".")))
