@@ -67,16 +67,22 @@ def ranked(scores: DataFrame, tie: str = "ord") -> DataFrame:
     return scores.withColumn("rank0", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", DIGITS)), tie)) - 1)
 
 
+def best(scores: DataFrame, k: int) -> DataFrame:
+    """The k first of each question with rank, from 1. The filter stands on the row number itself, so that partitions cut off early."""
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", DIGITS)), "ord")
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def top_passages(index: Index, questions: DataFrame, qid: str, question: str, k: int = TOP_K) -> DataFrame:
     """qid, rank (from 1), key, ord, score: k passages for each question. Where fewer have a term in common, the first of the index come with
     a score of 0: the first k and those already found are enough to fill k places, so k rows a question are added, not the whole index."""
-    best = ranked(keyword_scores(index, questions, qid, question)).filter(F.col("rank0") < k).select("qid", "key", "ord", "score")
+    first_hits = best(keyword_scores(index, questions, qid, question), k).select("qid", "key", "ord", "score")
     ids = questions.select(F.col(qid).alias("qid")).distinct()
-    found = best.groupBy("qid").agg(F.count("*").alias("found"))
+    found = first_hits.groupBy("qid").agg(F.count("*").alias("found"))
     short = ids.join(found, "qid", "left").filter(F.coalesce("found", F.lit(0)) < k).select("qid")
     first = index.passages.select("key", "ord").orderBy("ord").limit(2 * k)
-    fill = short.crossJoin(F.broadcast(first)).join(best.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", "ord", F.lit(0.0).alias("score"))
-    return ranked(best.unionByName(fill)).filter(F.col("rank0") < k).withColumn("rank", F.col("rank0") + 1).drop("rank0")
+    fill = short.crossJoin(F.broadcast(first)).join(first_hits.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", "ord", F.lit(0.0).alias("score"))
+    return best(first_hits.unionByName(fill), k)
 
 
 def dense_scores(vectors: DataFrame, questions: DataFrame) -> DataFrame:

@@ -141,8 +141,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     questions = vectors.filter("key % 100 = 0").select(F.col("key").alias("qid"), "vector")
-    rows = retrieval.ranked(retrieval.dense_scores(vectors, questions)).filter("rank0 < 4")
-    return rows.select("qid", F.col("key").alias("vec_id"), (F.col("rank0") + 1).cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    rows = retrieval.best(retrieval.dense_scores(vectors, questions), 4)
+    return rows.select("qid", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 HYBRID = f"""
