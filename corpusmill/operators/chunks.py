@@ -26,18 +26,19 @@ def sections(docs: DataFrame) -> DataFrame:
     return grouped.select("doc", "section_no", F.coalesce("section", F.lit(NO_SECTION)).alias("section"), text.alias("body")).filter("body <> ''")
 
 
-def window_array(x: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Overlapping windows of a text's words. A text of at most size words is one window, just as it is (but stripped); none for a blank one."""
-    step, w = max(size - overlap, 1), words(x)
-    n = F.size(w)
+def window_array(w: Column, whole: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Overlapping windows of words w (a column that is there already: it is used once a window). At most size words are one window, the
+    stripped text whole just as it is; no words give none."""
+    step, n = max(size - overlap, 1), F.size(w)
     count = 1 + F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(strip(x))).otherwise(cut)
+    return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(whole)).otherwise(cut)
 
 
 def word_windows(docs: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Rows key, window_no (from 0), window, words."""
-    rows = docs.select(F.col(key), F.posexplode(window_array(F.col(text), size, overlap)).alias("window_no", "window"))
+    rows = docs.select(F.col(key), words(F.col(text)).alias("_w"), strip(F.col(text)).alias("_t"))
+    rows = rows.select(key, F.posexplode(window_array(F.col("_w"), F.col("_t"), size, overlap)).alias("window_no", "window"))
     return rows.withColumn("words", word_count(F.col("window")))
 
 
@@ -46,7 +47,8 @@ def passages(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataF
     blank, where it is a heading, else the document's name."""
     first = F.element_at(F.split(F.regexp_replace("text", r"(?U)^\s+", ""), r"\r\n|[\n\r\x0B\f]", 2), 1)
     titles = docs.select("doc", F.when(first.rlike(HEADING), strip(F.regexp_extract(first, HEADING, 2))).otherwise(F.col("doc")).alias("title"))
-    cut = sections(docs).select("doc", "section_no", "section", F.posexplode(window_array(F.col("body"), size, overlap)).alias("window_no", "text"))
+    split = sections(docs).withColumn("_w", words(F.col("body")))
+    cut = split.select("doc", "section_no", "section", F.posexplode(window_array(F.col("_w"), F.col("body"), size, overlap)).alias("window_no", "text"))
     number = F.row_number().over(Window.partitionBy("doc").orderBy("section_no", "window_no")) - 1
     cut = cut.withColumn("chunk_no", number).join(titles, "doc")
     return cut.select(padded_name(F.col("doc"), F.col("chunk_no")).alias("id"), "doc", "title", "section", "text", word_count(F.col("text")).alias("words"), "chunk_no")

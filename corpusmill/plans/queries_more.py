@@ -414,3 +414,88 @@ def tokens_per_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.length("name")), "name")).cast("long"))
+
+
+@query(
+    "pages_joined",
+    "WITH p AS (SELECT conv_id, list(text ORDER BY turn) AS pages FROM conversations GROUP BY conv_id) SELECT conv_id, md5(array_to_string(list_filter(list_transform(pages, lambda t, i: CASE WHEN trim(t, e' \\t\\n\\r\\x0b\\f') <> '' THEN '[Page ' || i || e']\\n' || trim(t, e' \\t\\n\\r\\x0b\\f') END), lambda x: x IS NOT NULL), e'\\n\\n')) AS digest FROM p",
+)
+def pages_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("pages"))
+    return turns.select("conv_id", F.md5(text.join_pages(F.col("pages")).cast("binary")).alias("digest"))
+
+
+@query(
+    "union_of_rankings",
+    """WITH s AS (SELECT event_type, user_id, round(sum(value), 9) AS v, count(*) AS n FROM events GROUP BY event_type, user_id),
+    a AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY v DESC, user_id) - 1 AS r FROM s),
+    b AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) - 1 AS r FROM s),
+    u AS (SELECT event_type, user_id, sum(1 / (60 + r)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
+    SELECT event_type, user_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY event_type ORDER BY round(score, 9) DESC, user_id) AS BIGINT) AS rank FROM u QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(score, 9) DESC, user_id) <= 5""",
+)
+def union_of_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 9).alias("v"), F.count("*").alias("n"))
+    place = lambda c: F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc(c), "user_id")) - 1
+    both = base.select("event_type", "user_id", place("v").alias("r")).unionAll(base.select("event_type", "user_id", place("n").alias("r")))
+    scores = both.groupBy(F.col("event_type").alias("qid"), F.col("user_id").alias("ord")).agg(F.sum(numbers.reciprocal_rank(F.col("r"))).alias("score"))
+    top = retrieval.best(scores, 5)
+    return top.select(F.col("qid").alias("event_type"), F.col("ord").alias("user_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "retry_counts",
+    "SELECT conv_id, count(*) FILTER (role = 'assistant') AS attempts, count(*) FILTER (role = 'assistant') > 1 AS retried FROM conversations GROUP BY conv_id",
+)
+def retry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = F.count_if(F.col("role") == "assistant")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(attempts.alias("attempts"), (attempts > 1).alias("retried"))
+
+
+@query(
+    "no_content_filter",
+    "SELECT page_id, NOT contains(lower(substr(html, 1, 60)), 'lang=\"fr\"') AS keep_a, NOT contains(upper(html), 'TRACK(0)') AS keep_b FROM pages",
+)
+def no_content_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile a looks at the lower-cased start, b anywhere in upper case."""
+    a, b = F.lower(F.substring("html", 1, 60)).contains('lang="fr"'), F.upper("html").contains("TRACK(0)")
+    return table(spark, sf_dir, "pages").select("page_id", (~a).alias("keep_a"), (~b).alias("keep_b"))
+
+
+@query("score_split", "SELECT doc_id, CASE WHEN quality < 1 THEN 'failure' ELSE 'success' END AS part FROM labels")
+def score_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") < 1, "failure").otherwise("success").alias("part"))
+
+
+@query(
+    "all_pass_exit_code",
+    "SELECT source, CASE WHEN bool_and(quality = 1) THEN 0 ELSE 1 END AS exit_code, count(*) FILTER (quality = 1) AS passed FROM labels JOIN documents USING (doc_id) GROUP BY source",
+)
+def all_pass_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    ok = F.col("quality") == 1
+    return rows.groupBy("source").agg(F.when(F.bool_and(ok), 0).otherwise(1).alias("exit_code"), F.count_if(ok).alias("passed"))
+
+
+@query("validated_records")
+def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as summary records: rendered, parsed again and checked."""
+    from ..sources.sinks import render_record_a
+
+    body = F.array_join(F.slice(text.words(text.strip_tags(F.col("html"))), 1, 60), " ")
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    raw = F.to_json(F.struct(title.alias("title"), F.lit("Body").alias("issuing_body"), F.lit("unknown").alias("country_or_region"), F.lit("2024").alias("year"), F.lit("Page").alias("document_type"), body.alias("summary"), F.lit("a; b, A, c").alias("keywords")))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", payload.summary_record(payload.json_object_text(raw)).alias("r"))
+    # Each step is a column of its own: what later ones use many times is then computed once.
+    rows = rows.withColumn("md", render_record_a(F.col("r"), F.col("url"), "agent", "model", "2024-01-01")).withColumn("p", tables.parse_summary_a(F.col("md")))
+    return rows.select("page_id", validation.file_errors(F.col("p")).alias("errors"), F.size("p.keywords").alias("keywords"))
+
+
+@query(
+    "elapsed_and_containment",
+    "SELECT event_type, round(date_diff('millisecond', min(ts), max(ts)) / 1000.0, 3) AS seconds, count(*) FILTER (ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 5 SECOND AND TIMESTAMP '2024-01-12 00:00:00' + INTERVAL 5 SECOND) AS inside FROM events GROUP BY event_type",
+)
+def elapsed_and_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds between first and last, and how many lie in an interval five seconds wider on each side."""
+    seconds = (F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))) / 1000
+    lo, hi = F.lit("2024-01-09 23:59:55").cast("timestamp"), F.lit("2024-01-12 00:00:05").cast("timestamp")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(seconds, 3).alias("seconds"), F.count_if(F.col("ts").cast("timestamp").between(lo, hi)).alias("inside"))
