@@ -14,17 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import bound_batches, marked, pack, stored, texts_of, unpack
+from .runtime import bound_batches, discard, marked, pack, stored, texts_of, unpack
 from .wordhash import BASE_A, Runs, hashes_of
 
 SHINGLE, PERCENT = 5, 75
 #: Members from which a list is long; shingles that a task counts at a time; counts in such a unit, and in all, from which one is frequent;
-#: frequent shingles that the order knows at most (its choice affects speed, never links).
-LONG, UNIT, OFTEN, FREQUENT, KNOWN = 128, 4_000_000, 3, 32, 1 << 17
+#: frequent shingles that the order knows at most (its choice affects speed, never links); rounds with one set of each list.
+LONG, UNIT, OFTEN, FREQUENT, KNOWN, ROUNDS = 48, 4_000_000, 3, 32, 1 << 17, 3
 #: Prefix entries that a bucket holds, about.
 BUCKET = 1_000_000
 
@@ -42,7 +42,7 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, size: int, often: int = OFTEN, frequent: int = FREQUENT) -> np.ndarray:
     """The shingles that most sets hold, KNOWN at most, from counts over all documents; equal sets of a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +50,8 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
         def counted() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64), pa.int64()), pa.array(times[often].astype(np.int64), pa.int64())], names=["shingle", "n"])
+            many = times >= often
+            return pa.RecordBatch.from_arrays([pa.array(found[many].astype(np.int64), pa.int64()), pa.array(times[many].astype(np.int64), pa.int64())], names=["shingle", "n"])
 
         for batch in batches:
             for text in texts_of(batch):
@@ -68,7 +68,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
         if n:
             yield counted()
 
-    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent)
     rows = counts.orderBy(F.desc("n"), "shingle").limit(KNOWN).collect()
     return np.sort(np.array([r["shingle"] for r in rows], np.int64).astype(np.uint64))
 
@@ -105,9 +105,9 @@ def prefixes(docs: DataFrame, known: np.ndarray, size: int, percent: int) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, PREFIXES)
 
 
-#: Packed: entries of a bucket. Candidates: kind 0, a pair of groups a < b that share n entries of one bucket; kind 1, group a of size n
-#: stands in the long list b.
-PACKED, CANDIDATES = "bucket int, data binary", "kind int, a long, b long, n long"
+#: Packed: entries of a bucket. Candidates: kind 0, a pair of groups a < b that share n entries of one bucket and must share need in all to be
+#: similar; kind 1, group a of size n stands in the long list b.
+PACKED, CANDIDATES = "bucket int, data binary", "kind int, a long, b long, n long, need int"
 
 
 def packed(groups: DataFrame, n_buckets: int) -> DataFrame:
@@ -121,6 +121,7 @@ def packed(groups: DataFrame, n_buckets: int) -> DataFrame:
             sizes = [len(p) for p in parts]
             h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             gid, n = np.repeat(np.array([r["gid"] for r in rows], np.int64), sizes), np.repeat(np.array([r["n"] for r in rows], np.int64), sizes)
+            place = np.concatenate([np.arange(k) for k in sizes]) if sizes else np.zeros(0, np.int64)
             bucket = (h % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order], [-1]])))
@@ -128,7 +129,7 @@ def packed(groups: DataFrame, n_buckets: int) -> DataFrame:
             for a, b in zip(edges, edges[1:]):
                 some = order[a:b]
                 out_b.append(int(bucket[some[0]]))
-                out_d.append(pack(h[some].tobytes() + gid[some].tobytes() + n[some].tobytes()))
+                out_d.append(pack(b"".join(c[some].tobytes() for c in (h, gid, n, place))))
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_d, pa.binary())], names=["bucket", "data"])
 
     return groups.select("gid", "n", "frequent", "prefix").mapInArrow(run, PACKED)
@@ -144,25 +145,25 @@ def frequent_entries(groups: DataFrame) -> DataFrame:
             sizes = [len(p) for p in parts]
             gid, n = (np.repeat(np.array([r[c] for r in rows], np.int64), sizes) for c in ("gid", "n"))
             h = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32), pa.int32()), pa.array(gid, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["kind", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32), pa.int32()), pa.array(gid, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(np.zeros(len(h), np.int32), pa.int32())], names=["kind", "a", "b", "n", "need"])
 
     return groups.filter("frequent > 0").select("gid", "n", "frequent", "prefix").mapInArrow(run, CANDIDATES)
 
 
-def _bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
+def _bucket_pairs(table: pa.Table, percent: int, long_list: int = LONG) -> pa.Table:
     """Candidates of one bucket."""
-    data = [np.frombuffer(unpack(x), np.int64).reshape(3, -1) for x in table.column("data").to_pylist()]
-    h, gid, n = np.concatenate(data, axis=1)
+    data = [np.frombuffer(unpack(x), np.int64).reshape(4, -1) for x in table.column("data").to_pylist()]
+    h, gid, n, place = np.concatenate(data, axis=1)
     order = np.lexsort((gid, h))
-    h, gid, n = h[order], gid[order], n[order]
+    h, gid, n, place = h[order], gid[order], n[order], place[order]
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.concatenate([starts, [len(h)]]))
     size = np.repeat(size, size)
-    long_, few = size > LONG, (size > 1) & (size <= LONG)
-    out = [(np.ones(int(long_.sum()), np.int64), gid[long_], h[long_], n[long_])]
-    h, gid, n = h[few], gid[few], n[few]
-    pairs_a, pairs_b = [], []
-    for lag in range(1, LONG):
+    long_, few = size > long_list, (size > 1) & (size <= long_list)
+    out = [(np.ones(int(long_.sum()), np.int64), gid[long_], h[long_], n[long_], np.zeros(int(long_.sum()), np.int64))]
+    h, gid, n, place = h[few], gid[few], n[few], place[few]
+    pairs_a, pairs_b, needs = [], [], []
+    for lag in range(1, long_list):
         same = h[lag:] == h[:-lag] if lag < len(h) else np.zeros(0, bool)
         if not same.any():
             break
@@ -170,15 +171,21 @@ def _bucket_pairs(table: pa.Table, percent: int) -> pa.Table:
         close = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
         pairs_a.append(gid[:-lag][same][close])
         pairs_b.append(gid[lag:][same][close])
+        x, y, i, j = x[close], y[close], place[:-lag][same][close], place[lag:][same][close]
+        overlap = -(-percent * (x + y) // (100 + percent))
+        # Entries up to this one that only one side has count against it, and what the longer set has behind its prefix can make up for few.
+        needs.append(np.maximum.reduce([overlap + (-percent * np.maximum(x, y) // 100) + 1, i + 1 - (x - overlap), j + 1 - (y - overlap)]))
     if pairs_a:
-        a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
+        a, b, need = np.concatenate(pairs_a), np.concatenate(pairs_b), np.concatenate(needs)
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        a, b, need = a[order], b[order], need[order]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
         times = np.diff(np.concatenate([first, [len(a)]]))
-        out.append((np.zeros(len(first), np.int64), a[first], b[first], times))
-    kind, a, b, c = (np.concatenate(x) for x in zip(*out))
-    return pa.table({"kind": pa.array(kind.astype(np.int32), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(c, pa.int64())})
+        most = np.maximum.reduceat(need, first) if len(first) else need
+        out.append((np.zeros(len(first), np.int64), a[first], b[first], times, most))
+    kind, a, b, c, need = (np.concatenate(x) for x in zip(*out))
+    columns = {"kind": kind.astype(np.int32), "a": a, "b": b, "n": c, "need": need.astype(np.int32)}
+    return pa.table({k: pa.array(v) for k, v in columns.items()})
 
 
 def set_table(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -205,18 +212,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("data").alias("x")), sets.select(F.col("node").alias("b"), F.col("data").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def of(column: str, data: str) -> DataFrame:
+        some = marked(sets, F.col("node"), pairs.select(column).distinct()).filter("_marked")  # only sets of these pairs are shuffled
+        return some.select(F.col("node").alias(column), F.col("data").alias(data))
 
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+
+def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, long_list: int = LONG, often: int = OFTEN, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs(doc_id, text). Null and empty texts, and
     texts without words, have no shingles and link with nothing. Rows with a null doc_id keep their row; they take part where another document
     has the same set, and else have a null component. Rows that share a doc_id count as one document with several texts."""
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    rows = stored(prefixes(docs, frequent_shingles(docs, size), size, percent), "prefixes")
+    rows = stored(prefixes(docs, frequent_shingles(docs, size, often, frequent), size, percent), "prefixes")
     some = rows.filter("n > 0 and doc_id is not null")
     sets = some.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("group_hash").alias("group_hash"))
     groups = some.groupBy("group_hash").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("frequent").alias("frequent"), F.first("prefix").alias("prefix"))
@@ -226,72 +236,92 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     entries = groups.agg(F.sum(F.length("prefix") / 8).cast("long")).first()[0] or 0
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(64, 4 * parallel, -(-entries // BUCKET))
-    found = packed(groups, n_buckets).groupBy("bucket").applyInArrow(lambda t: _bucket_pairs(t, percent), CANDIDATES)
+    found = packed(groups, n_buckets).groupBy("bucket").applyInArrow(lambda t: _bucket_pairs(t, percent, long_list), CANDIDATES)
     found = stored(found.unionByName(frequent_entries(groups)), "candidates")
 
     # Pairs of groups must share enough entries; entries in long lists count as shared, for lack of knowing.
     lists = found.filter("kind = 1").select(F.col("b").alias("list"), F.col("a").alias("gid"), "n")
-    apart = lists.groupBy("gid").agg(F.count("*").alias("apart"))
-    facts = groups.select("gid", "n").join(apart, "gid", "left").select("gid", "n", F.coalesce("apart", F.lit(0)).alias("apart"))
-    shared = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"))
-    shared = shared.join(facts.toDF("a", "n_a", "apart_a"), "a").join(facts.toDF("b", "n_b", "apart_b"), "b")
-    overlap = f"ceil({percent} * (n_a + n_b) / {100 + percent})"
-    beyond = f"greatest(ceil({percent} * n_a / 100), ceil({percent} * n_b / 100)) - 1"
-    pairs = stored(shared.filter(f"shared + least(apart_a, apart_b) >= {overlap} - ({beyond})").select("a", "b"), "group-pairs")
+    apart = stored(lists.groupBy("gid").agg(F.count("*").alias("apart")), "apart")
+    shared = stored(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("need").alias("need")), "shared")
+    weak = shared.filter("shared < need")
+    weak = marked(weak, F.col("a"), apart.select("gid")).filter("_marked").drop("_marked")
+    weak = marked(weak, F.col("b"), apart.select("gid")).filter("_marked").drop("_marked")
+    weak = weak.join(apart.toDF("a", "apart_a"), "a").join(apart.toDF("b", "apart_b"), "b").filter("shared + least(apart_a, apart_b) >= need")
+    pairs = stored(shared.filter("shared >= need").select("a", "b").union(weak.select("a", "b")), "group-pairs")
 
     # Long lists, and the sets of one group, are lists of sets; a list's sets are in bands of size.
     crowded = members.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select("gid")
-    inside = members.join(crowded, "gid").select(F.col("gid").alias("list"), "node", "n", F.lit(1).alias("what"))
+    same = F.lit(2**31).alias("apart")
+    inside = members.join(crowded, "gid").select(F.col("gid").alias("list"), "node", "n", F.lit(1).alias("what"), same)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    lists = lists.select("list", "gid").join(members.select("gid", "node", "n"), "gid").select("list", "node", "n", F.lit(0).alias("what"))
+    lists = lists.select("list", "gid").join(members.select("gid", "node", "n"), "gid").join(apart, "gid").select("list", "node", "n", F.lit(0).alias("what"), "apart")
     lists = stored(lists.unionByName(inside).withColumn("band", band), "lists")
 
     expand = members.select("gid", "node")
     candidates = pairs.select("a").union(pairs.select("b")).toDF("gid").distinct().join(expand, "gid").select("node").union(lists.select("node")).distinct()
     whole = stored(set_table(docs, stored(candidates, "nodes"), size), "sets")
 
-    # First round: each group with its smallest partner, each list's sets with its smallest set.
-    hubs = lists.groupBy("what", "list", "band").agg(F.min("node").alias("a"))
-    first = lists.join(hubs, ["what", "list", "band"]).filter("a < node").select("a", F.col("node").alias("b"))
-    first = first.union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
-    links = stored(verified(first, whole, percent), "links")
-    where = components(links)
-
-    # Second round: what is left of the pairs, and of the lists, against their largest set.
+    # A list's sets are compared with one of them, another one each round, which costs as many comparisons as the list has members; groups with
+    # their smallest partner. What is in one component by then needs no comparison.
     def placed(df: DataFrame, column: str, to: str) -> DataFrame:
-        return df.join(where.toDF(column, "_c"), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
+        return df if where is None else df.join(where.toDF(column, "_c"), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
+
+    def compare(new: DataFrame, name: str) -> None:
+        nonlocal links, where, done
+        new = new.select("a", "b").distinct()
+        new = stored(new if done is None else new.join(done, ["a", "b"], "left_anti"), name)
+        if not new.isEmpty():
+            done = new if done is None else done.union(new)
+            found_links = stored(verified(new, whole, percent), "links")
+            links = found_links if links is None else links.union(found_links)
+            where = components(links)
+
+    links = where = done = None
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    open_lists = lists.withColumn("c", F.col("node"))
+    for turn in range(ROUNDS):
+        hubs = open_lists.groupBy("what", "list", "band").agg(F.min_by(F.struct("node", "c", "n", "apart"), F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.col("node"), F.col("node"))).alias("hub"))
+        tried = open_lists.join(hubs, ["what", "list", "band"]).filter(F.col("c") != F.col("hub.c"))
+        tried = tried.filter(_possible("n", "hub.n", "least(apart, hub.apart)", percent)).select(*ordered("node", "hub.node"))
+        if not turn:
+            tried = tried.union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        compare(tried, f"tried-{turn}")
+        if where is None:
+            break
+        open_lists = stored(_open(placed(lists, "node", "c")), "open-lists")
+        if open_lists.isEmpty():
+            break
 
+    # Then every pair of groups, and in lists that still fall apart every set outside the largest component against all the others, where both
+    # have enough entries in long lists. Pairs that share other entries are among the pairs of groups.
     sets_a, sets_b = expand.toDF("ga", "a"), expand.toDF("gb", "b")
-    all_pairs = pairs.toDF("ga", "gb").join(sets_a, "ga").join(sets_b, "gb").select("a", "b")
-    second = placed(placed(all_pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    open_lists = stored(_open(placed(lists, "node", "c")), "open-lists")
-    hubs = open_lists.groupBy("what", "list", "band").agg(F.max(F.struct("node", "c")).alias("hub"))
-    again = open_lists.join(hubs, ["what", "list", "band"]).filter("c <> hub.c").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    done = first.withColumn("done", F.lit(True))
-    second = stored(second.union(again).distinct().join(done, ["a", "b"], "left_anti"), "second")
-    if not second.isEmpty():
-        links = links.union(stored(verified(second, whole, percent), "links"))
-        where = components(links)
-
-    # Last: in lists that still fall apart, every set outside a list's largest component against all the others there.
-    open_lists = stored(_open(placed(open_lists.drop("c"), "node", "c")), "open-lists")
-    if not open_lists.isEmpty():
+    rest = pairs.toDF("ga", "gb").join(sets_a, "ga").join(sets_b, "gb").select(*ordered("a", "b"))
+    if where is not None:
+        rest = placed(placed(rest, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
         sizes = open_lists.groupBy("what", "list", "c").agg(F.count("*").alias("k"))
         main = sizes.groupBy("what", "list").agg(F.max(F.struct("k", "c")).alias("main"))
-        rest = open_lists.join(main, ["what", "list"]).filter("c <> main.c").select("what", "list", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("band").alias("bx"))
-        near = rest.withColumn("band", F.explode(F.array(F.col("bx") - 1, F.col("bx"), F.col("bx") + 1)))
-        left = near.join(open_lists, ["what", "list", "band"]).filter(f"cx <> c and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
-        left = left.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        last = stored(left.join(done, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "last")
-        if not last.isEmpty():
-            links = links.union(stored(verified(last, whole, percent), "links"))
-            where = components(links)
-
+        outside = open_lists.join(main, ["what", "list"]).filter("c <> main.c").select("what", "list", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "c", "band", "apart")])
+        outside = outside.withColumn("band", F.explode(F.array(F.col("band_x") - 1, F.col("band_x"), F.col("band_x") + 1)))
+        left = outside.join(open_lists, ["what", "list", "band"])
+        left = left.filter((F.col("c_x") != F.col("c")) & _possible("n", "n_x", "least(apart, apart_x)", percent))
+        left = left.groupBy(*ordered("node", "node_x")).agg(F.count("*").alias("together"), F.first("n").alias("n"), F.first("n_x").alias("n_x"), F.max("what").alias("what"))
+        rest = rest.union(left.filter((F.col("what") == 1) | _possible("n", "n_x", "together", percent)).select("a", "b"))
+    compare(rest, "rest")
+    where = where if where is not None else members.select("node", F.col("node").alias("component")).limit(0)
+
+    discard(groups, found, apart, shared, pairs, lists, whole)
     known = members.select("set_hash", "node").join(where.withColumnRenamed("component", "c"), "node", "left").select("set_hash", F.coalesce("c", "node").alias("c"))
     out = rows.select("doc_id", "n", "set_hash").join(known, "set_hash", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def _possible(x: str, y: str, most: str, percent: int) -> Column:
+    """Whether sets of x and y shingles can be similar if their prefixes share most entries at best: their sizes allow it, and what the longer
+    one has behind its prefix can make up the overlap."""
+    overlap, beyond = f"ceil({percent} * ({x} + {y}) / {100 + percent})", f"ceil({percent} * greatest({x}, {y}) / 100) - 1"
+    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y}) and {most} >= {overlap} - ({beyond})")
+
+
 def _open(lists: DataFrame) -> DataFrame:
     """The lists whose sets lie in several components."""
     several = lists.groupBy("what", "list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("what", "list")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -33,7 +34,10 @@ def shared_root(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing is made there yet."""
     bound_batches(spark)
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _record is not None:
+        _record.append(path)
+    return path
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -45,7 +49,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what stored() wrote, once no result needs it any more."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            drop_stored(t.sparkSession, path)
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Appends to paths every folder that shared_folder() names meanwhile."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
+
+
+_record: list[str] | None = None
 
 
 def drop_stored(spark: SparkSession, path: str) -> None:
