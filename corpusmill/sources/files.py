@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...], recursive: bool = False) -> DataFrame:
     """path, doc (below folder), bytes, content of files with a suffix, whatever its case. Nothing is read that the name rules out;
-    names that begin with an underscore or a dot count as hidden and are never listed."""
+    names that begin with an underscore or a dot count as hidden, and they and files without a byte have no row."""
     glob = "{" + ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     base = F.regexp_replace(F.lit(folder.rstrip("/")), "^file:/*", "/")
