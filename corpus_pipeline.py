@@ -7,41 +7,57 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm.jaccard import keep_representatives
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality import keep_quality, training_labels
-from corpusmill.llm.runtime import stored
+from corpusmill.llm.runtime import drop_stored, recorded, stored
 from corpusmill.llm.secrets import redact_documents
 from corpusmill.llm.substring import drop_repeats
 from corpusmill.session import ship_package
 
 
+#: Folders that the stage before wrote for itself; its result is written by the time that the next one begins.
+_left: list[str] = []
+
+
+def _stage(f):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        while _left:
+            drop_stored(spark, _left.pop())
+        with recorded(_left):
+            return f(spark, docs, sf_dir)
+
+    run_stage.__doc__ = f.__doc__
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    ship_package(spark)
     return keep_quality(docs, training_labels(spark, sf_dir, "quality", 3, 1))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id stays."""
-    ship_package(spark)
     return keep_representatives(docs)
 
 
+@_stage
 def repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that occur elsewhere too are taken out."""
-    ship_package(spark)
     return drop_repeats(docs)
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    ship_package(spark)
     return redact_documents(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences whose sources keep their shares."""
     import public_tokenizers
 
-    ship_package(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
