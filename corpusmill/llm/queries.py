@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_topk": topk.OP4_SQL, "op9_warc": warc.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_topk": topk.OP4_SQL, "op5_substring": substring.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_warc": warc.OP9_SQL}
