@@ -220,7 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for batch in batches:
             n = np.array(batch.column(1).to_pylist(), float)
             scores = [np.array(s, float) for s in batch.column(4).to_pylist()]
-            p, kept = c.probabilities(n, scores) if len(n) else np.zeros(0), []
+            p, kept = np.round(c.probabilities(n, scores), 9) if len(n) else np.zeros(0), []
             for k, s, a, b in zip(n, scores, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 ok = c.scale * max(k, 1) * np.exp(-c.rate * s) < EXPECTED
                 kept.append([[v for v, o in zip(x, ok) if o] for x in (a, b, s.tolist())])
