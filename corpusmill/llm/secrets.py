@@ -26,7 +26,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: Runs that may encode something, and the rate of false discoveries allowed in a document.
-CANDIDATE, RATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 1e-3
+CANDIDATE, RATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 1e-4
 #: Encodings from the smallest alphabet to the largest; each infers as the first that holds all characters before the filling.
 ENCODINGS = (
     ("decimal", "0123456789"),
@@ -41,7 +41,7 @@ ENCODINGS = (
 )
 SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS]
 #: Structured text: the chance that two characters agree, of a class change, and mean and deviation of neighbours' correlation.
-AGREE, CHANGE, CORRELATED, SPREAD = 0.066, 0.18, 0.45, 0.25
+AGREE, CHANGE, CORRELATED, SPREAD = 0.066, 0.3, 0.45, 0.25
 
 
 def _tail(z: float) -> float:
