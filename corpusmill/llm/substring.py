@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, marked, stored, texts_of
+from .runtime import bound_batches, discard, marked, stored, texts_of
 from .wordhash import BASE_A, BASE_B, BASE_C, WORD, Runs, hashes_of, words_of
 
 #: Words of a window, and of the runs that anchors are chosen from; the window must hold at most 63 of them.
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
         raise ValueError("a run's windows must fit the bits of a long")
     keep = keep or ["doc_id"]
     bound_batches(docs.sparkSession)
-    docs = docs.select(*[F.col(c) for c in keep], *([] if "text" in keep else ["text"])).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("id", F.col("doc_id").cast("string")).withColumn("key", F.xxhash64("id", "text"))
     hot = stored(sketch(docs.select("text"), window, anchor).filter("n > 1").select("cell"), "hot-cells")
     first_row = F.shiftrightunsigned("anchor", 64 - WIDTH_BITS)
@@ -176,6 +176,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
     likely = anchors_of(docs, window, anchor).withColumn("cell", first_row).join(hot, "cell", "left_semi")
     likely = likely.withColumn("cell", second_row).join(hot, "cell", "left_semi")
     likely = stored(likely.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "likely")
+    discard(hot)
 
     looked = marked(docs, F.col("key"), likely.select("key"))
     again = looked.filter("_marked").select(*docs.columns)
@@ -201,10 +202,24 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, window: int =
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with the words of repeated windows taken out of text, and n_chars (if there) set anew; other texts stay as they are, null becomes
     empty."""
-    out = remove_repeats(docs, keep=docs.columns, with_text=True)
+    own = [f"_column_{i}" for i in range(len(docs.columns))]  # so that no name of docs meets one used here
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)])
+    out = remove_repeats(rows, keep=own, with_text=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[new.get(c, F.col(n)).alias(c) for c, n in zip(docs.columns, own)])
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win WHERE s IN (SELECT s FROM rep)),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

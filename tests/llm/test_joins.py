@@ -76,6 +76,11 @@ def test_drop_repeats_leaves_the_rest_alone(spark):
     df = spark.createDataFrame([(1, f"My  own\nstart {passage} end.", "x", 5), (2, f"{passage}\n\nOther", "y", 5), (3, "Clean  text\n", "z", 5)], "doc_id long, text string, source string, n_chars long")
     rows = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substring.drop_repeats(df).collect()}
     assert rows == {1: ("My  own\nstart end.", 18), 2: ("Other", 5), 3: ("Clean  text\n", 12)}
+    clashing = df.select("*", *[F.lit(7).alias(c) for c in ("key", "id", "kept", "n_words", "marks", "anchors", "again")])
+    out = substring.drop_repeats(clashing)
+    assert out.columns == clashing.columns and {(r["key"], r["kept"], r["n_words"]) for r in out.collect()} == {(7, 7, 7)}
+    near = jaccard.keep_representatives(clashing)
+    assert near.columns == clashing.columns and near.count() == 2
 
 
 def plain_components(texts, size=5):
