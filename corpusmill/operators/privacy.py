@@ -61,6 +61,8 @@ def find_identifiers(docs: DataFrame, names: list[str] | None = None) -> DataFra
         out = out.withColumn("masked", F.regexp_replace("masked", pattern, f"{OPEN}{i - len(given)}:0{CLOSE}"))
     for rule, (label, pattern) in enumerate(RULES):
         found = F.regexp_extract_all("masked", F.lit(pattern), 0)
+        if "@" in pattern:  # most texts have no such sign, and looking for one is cheap
+            found = F.when(F.contains("masked", F.lit("@")), found).otherwise(F.array().cast("array<string>"))
         out = out.withColumn("_found", found)
         out = out.withColumn("finds", F.concat("finds", _listed(rule, label))).withColumn("masked", _numbered(F.col("masked"), F.col("_found"), rule)).drop("_found")
     return out

@@ -55,7 +55,7 @@ def content_terms(x: Column) -> Column:
 def keyword_scores(index: Index, questions: DataFrame, qid: str, question: str) -> DataFrame:
     """qid, key, ord, score of every passage that shares a term. Repeated terms of a question count each time; stopwords count."""
     asked = questions.select(F.col(qid).alias("qid"), F.explode(tokens(F.col(question))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    weights = index.frequencies.join(asked.select("term").distinct(), "term").crossJoin(F.broadcast(index.stats))
+    weights = index.frequencies.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(index.stats))  # one row
     weights = weights.select("term", idf(F.col("n"), F.col("df")).alias("weight"), "mean_length")
     hits = asked.join(weights, "term").join(index.postings, "term").join(index.passages.select("key", "ord", "length"), "key")
     gain = F.col("times") * bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("weight"))
