@@ -166,12 +166,21 @@ def fit(x: np.ndarray, y: np.ndarray, own: np.ndarray, seed: int = 7) -> Network
     return net
 
 
-def learn(vectors: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """From the labelled rows with the smallest hashes of their ids, sample at most; which of them set the temperature goes by the hash too."""
-    known = labels.filter("doc_id is not null and label is not null").select("doc_id", "label").withColumn("h", F.xxhash64("doc_id"))
-    rows = vectors.join(known, "doc_id").orderBy("h", "doc_id", "label").limit(sample).select("features", "label", "h").collect()
+def bounded_sample(labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id, label and h of the labelled rows with the smallest hashes of their ids, sample at most. Hashes that can't be among them are left
+    out before rows are gathered, so what tasks send doesn't grow with their number."""
+    known = labels.filter("doc_id is not null and label is not null").select("doc_id", "label")
+    known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    share = min(1.0, 1.1 * sample / max(1, known.count()))
+    return known.filter(F.col("h") < F.lit(int(share * (1 << 40)) + 1)).orderBy("h", "doc_id", "label").limit(sample)
+
+
+def learn(vectors: DataFrame, labels: DataFrame) -> Network:
+    """From labels, a bounded sample; which of its rows set the temperature goes by their hashes."""
+    rows = vectors.join(labels, "doc_id").select("features", "label", "h", "doc_id").collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["label"]))
     x = np.array([np.frombuffer(r["features"], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * SIZE + 5)
-    own = np.array([(r["h"] >> 20) % 1000 < CALIBRATE * 1000 for r in rows], bool)
+    own = np.array([(r["h"] >> 8) % 1000 < CALIBRATE * 1000 for r in rows], bool)
     return fit(x, np.array([r["label"] for r in rows], int), own)
 
 
@@ -179,7 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """doc_id and the probability that a document's label is 1. labels: doc_id, label; rows with a null are left out. Empty and null texts are
     scored like any other; an empty table gives no rows; repeated rows get equal scores."""
     features = stored(document_vectors(docs, word_vectors(docs)), "quality-vectors")
-    net = learn(features, labels, sample)
+    net = learn(features, bounded_sample(labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +204,9 @@ def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample:
     of labels with the smallest hashes, whose documents alone are read for that; then every document is scored where it is read."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     vectors = word_vectors(docs)
-    known = labels.filter("doc_id is not null and label is not null").select("doc_id", "label").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).collect()
-    chosen = spark.createDataFrame(chosen, "doc_id long, label int")
+    chosen = spark.createDataFrame(bounded_sample(labels, sample).collect(), "doc_id long, label int, h long")
     few = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # sample rows at most
-    net = learn(document_vectors(few, vectors), chosen, sample)
+    net = learn(document_vectors(few, vectors), chosen)
     shared = spark.sparkContext.broadcast(vectors)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

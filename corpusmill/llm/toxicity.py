@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality import training_labels
+from .quality import bounded_sample, training_labels
 from .runtime import bound_batches, pack, remainder, stored, texts_of, tree_sum, unpack
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -209,11 +209,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, score, and the passages found: starts, ends (code points of the lower-cased text) and their scores. labels: doc_id, label; rows
     with a null are left out, the sample rows with the smallest hashes are learnt from. Null and empty texts score as documents without words;
     an empty table gives no rows; repeated rows get equal scores."""
-    rows = labels.filter("doc_id is not null and label is not null").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "label").limit(sample).collect()
+    rows = bounded_sample(labels, sample).collect()
     known = {r["doc_id"]: int(r["label"]) for r in rows}
     found = stored(segments(docs, *log_odds(count_words(docs, known))), "toxic-segments")
     spark = docs.sparkSession
-    taught = found.join(spark.createDataFrame(list(known.items()), "doc_id long, label int"), "doc_id").select("n_tokens", "scores", "label", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(2 * sample).collect()
+    taught = found.join(F.broadcast(spark.createDataFrame(list(known.items()), "doc_id long, label int")), "doc_id").select("doc_id", "n_tokens", "scores", "label").collect()
+    taught.sort(key=lambda r: (r["doc_id"], r["n_tokens"]))
     c = calibrate(np.array([r["n_tokens"] for r in taught], float), [np.array(r["scores"], float) for r in taught], np.array([r["label"] for r in taught], int))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
