@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,41 +56,44 @@ def passages(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataF
     return cut.select(padded_name(F.col("doc"), F.col("chunk_no")).alias("id"), "doc", "title", "section", "text", word_count(F.col("text")).alias("words"), "chunk_no")
 
 
+def _pieces(text: str, size: int, overlap: int) -> Iterator[tuple[str, bool]]:
+    """Paragraphs that aren't blank. One over size comes in strips of size, each overlapping the last; all but the rest stand alone."""
+    for paragraph in filter(str.strip, re.split(r"\n\s*\n", text)):
+        strips = max(0, -(-(len(paragraph) - size) // (size - overlap)))
+        for i in range(strips):
+            yield paragraph[i * (size - overlap) :][:size], True
+        yield paragraph[strips * (size - overlap) :], False
+
+
 def _pack_paragraphs(text: str, size: int, overlap: int) -> Iterator[str]:
-    import re
-
-    held = ""
-    for paragraph in re.split(r"\n\s*\n", text):
-        if not paragraph.strip():
-            continue
-        while len(paragraph) > size:  # too long on its own: cut, whatever is held comes before
-            if held:
-                yield held
-                held = ""
-            yield paragraph[:size]
-            paragraph = paragraph[size - overlap :]
-        if held and len(held) + len(paragraph) + 2 > size:
-            yield held
-            held = f"{held[-overlap:]}\n\n{paragraph}" if overlap else paragraph  # the finished chunk's tail is carried over
+    """Pieces are gathered while they fit. The tail of a full chunk begins the next one, which may so exceed size; strips that stand alone
+    neither take nor leave a tail."""
+    gathered: list[str] = []
+    for piece, alone in _pieces(text, size, overlap):
+        chunk = "\n\n".join(gathered)
+        if chunk and (alone or len(chunk) + 2 + len(piece) > size):
+            yield chunk
+            gathered = [chunk[-overlap:]] if overlap and not alone else []
+        if alone:
+            yield piece
         else:
-            held = f"{held}\n\n{paragraph}" if held else paragraph
-    if held.strip():
-        yield held
+            gathered.append(piece)
+    if (chunk := "\n\n".join(gathered)).strip():
+        yield chunk
 
 
 def _seek_boundaries(text: str, size: int, overlap: int) -> Iterator[str]:
-    start = 0
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):  # in the second half, the last blank line, else the last full stop before a space
-            cut = max(text.rfind("\n\n", start + size // 2, end), -1)
-            cut = cut if cut >= 0 else text.rfind(". ", start + size // 2, end)
-            end = cut + 1 if cut >= 0 else end
-        if piece := text[start:end].strip():
+    """All places where a chunk may end are found first; a chunk then ends at the last one in its second half, a blank line before a full stop."""
+    ends = [[m.start() for m in re.finditer(mark, text)] for mark in (r"(?=\n\n)", r"(?=\. )")]
+    start, last = 0, len(text)
+    while start < last:
+        stop = start + size
+        if stop < last:
+            near = (places[bisect_right(places, stop - 2) - 1] for places in ends if places and places[0] <= stop - 2)
+            stop = next((place + 1 for place in near if place >= start + size // 2), stop)
+        if piece := text[start:stop].strip():
             yield piece
-        if end == len(text):
-            return
-        start = max(end - overlap, start + 1)
+        start = last if stop >= last else max(stop - overlap, start + 1)
 
 
 def _folded(docs: DataFrame, key: str, text: str, cut, size: int, overlap: int) -> DataFrame:
