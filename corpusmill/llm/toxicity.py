@@ -3,7 +3,7 @@
 Words and their beginnings are counted in hashed arrays of fixed size: over all documents, and over labelled ones by class. Log-odds between
 the classes have a Dirichlet prior in proportion to the counts of the whole corpus. A token takes the largest log-odds, of its word or one of its
 beginnings, that lie surely above zero, and scores log(1 - e + e * odds): the gain of a passage model that puts a share e on toxic words; any
-other token scores log(1 - e). A linear scan finds all maximal segments. Their scores follow an extreme-value law in clean text, whose scale and rate are fitted on
+other token scores log(1 - e). A word scores the same at each of its places. A linear scan finds all maximal segments. Their scores follow an extreme-value law in clean text, whose scale and rate are fitted on
 clean labelled rows; segments beyond chance are the passages, and a document's score combines the largest, their number and their sum.
 """
 
@@ -27,8 +27,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, SLICES, BEGINNINGS = 1 << 19, 8, (5, 6, 7, 8)
 #: Strength of the prior in tokens, share of toxic words in a passage, and the expected count of chance passages below which one is kept.
 PRIOR, SHARE, EXPECTED = 2000.0, 0.05, 0.05
-#: Deviations from which log-odds count, what any other token scores, and how often a word of a document can score more than that.
-SURE, NEUTRAL, OFTEN = 3.0, -0.05, 2
+#: Deviations from which log-odds count, and what any other token scores.
+SURE, NEUTRAL = 3.0, -0.05
 #: Labelled rows that are learnt from at most, words that a task counts before it adds them up, and words whose weights it remembers.
 SAMPLE, COUNTED, REMEMBER = 50_000, 300_000, 200_000
 #: Scores under which a segment is not kept for judging.
@@ -135,11 +135,6 @@ def segments(docs: DataFrame, odds: np.ndarray, deviations: np.ndarray) -> DataF
                 low = text.lower()
                 words = WORD.findall(low)
                 scores = np.array([weigh(w) for w in words])
-                seen: Counter = Counter()
-                for i in np.flatnonzero(scores > 0).tolist():
-                    seen[words[i]] += 1
-                    if seen[words[i]] > OFTEN:
-                        scores[i] = NEUTRAL
                 found = [s for s in maximal_segments(scores) if s[2] >= LEAST]
                 if found:
                     at = [m.span() for m in WORD.finditer(low)]

@@ -84,3 +84,19 @@ def test_extreme_values_fit():
     best = (np.log(0.05 * n) - np.log(-np.log(rng.random(4000)))) / 1.5
     rate, scale = toxicity.fit_extremes(n, best)
     assert abs(rate - 1.5) < 0.15 and abs(np.log(scale / 0.05)) < 0.3
+
+
+def test_passages_of_words_seen_before(spark):
+    odds, deviations = np.zeros(toxicity.BUCKETS, np.float32), np.zeros(toxicity.BUCKETS, np.float32)
+    bad = ["vile", "foul", "scum", "rot"]
+    for w in bad:
+        odds[toxicity.features(w)[0]], deviations[toxicity.features(w)[0]] = 4.0, 9.0
+    calm = " ".join(["calm"] * 400)
+    quoted = " ".join(f"{w} {calm}" for w in bad * 2)
+    dense = " ".join(bad * 3)
+    text = f"{quoted} {dense} {calm} {dense} {calm} {dense}"
+    row = toxicity.segments(spark.createDataFrame([(1, text)], "doc_id long, text string"), odds, deviations).first()
+    one = float(np.log1p(toxicity.SHARE * (np.exp(4.0) - 1)))
+    found = [(a, b) for a, b, s in zip(row["starts"], row["ends"], row["scores"]) if s > 2 * one]
+    places = [len(quoted) + 1 + k * (len(dense) + len(calm) + 2) for k in range(3)]
+    assert found == [(p, p + len(dense)) for p in places] and max(row["scores"]) == pytest.approx(12 * one, rel=1e-5)
