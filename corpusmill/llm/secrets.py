@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings that no pattern knows.
 
-A candidate is a long run of characters that encodings use, outside what the patterns found. Its encoding is the smallest alphabet that holds
-it. Three statistics say how little it resembles structured text in that encoding: chi-squared uniformity over the alphabet, runs of
+A candidate is a long run of characters that encodings use; inside it the longest runs of either base64 alphabet are tested, outside what the
+patterns found, so a name before `=` or the path before a token doesn't hide it. A run's encoding is the smallest alphabet that holds it. Three statistics say how little it resembles structured text in that encoding: chi-squared uniformity over the alphabet, runs of
 character classes, and serial correlation of neighbours. Each gives a p-value under a model of structured text; Stouffer's method combines
 them, and a weighted Benjamini-Hochberg step, whose weights grow with length, controls false discoveries in each document.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: Runs that may encode something, and the rate of false discoveries allowed in a document.
 CANDIDATE, RATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 1e-4
+#: Runs of one alphabet inside a candidate, with the filling at its end, and the least length of what is tested.
+RUNS, LEAST_RUN = (re.compile(r"[A-Za-z0-9+/]{16,}(?:=+\Z)?"), re.compile(r"[A-Za-z0-9_-]{16,}(?:=+\Z)?")), 20
 #: Encodings from the smallest alphabet to the largest; each infers as the first that holds all characters before the filling.
 ENCODINGS = (
     ("decimal", "0123456789"),
@@ -102,6 +105,21 @@ def discoveries(tested: list[tuple[int, int, float]], rate: float = RATE) -> lis
     return [(s, e) for _, s, e in ranked[:last]]
 
 
+def runs_of(token: str) -> list[tuple[int, int]]:
+    """The longest runs of each alphabet in a candidate, in order; runs of different alphabets may overlap."""
+    return sorted({r.span() for pattern in RUNS for r in pattern.finditer(token) if r.end() - r.start() >= LEAST_RUN})
+
+
+def apart(tested: list[tuple[int, int, float]], rate: float) -> list[tuple[int, int, float]]:
+    """Of overlapping runs those that pass the rate alone before others, then the longest that passes, or the least p where none does."""
+    out: list[tuple[int, int, float]] = []
+    for s, e, p in sorted(tested, key=lambda x: (x[2] > rate, x[0] - x[1] if x[2] <= rate else x[2], x[0])):
+        i = bisect(out, (s, e))
+        if (i == 0 or out[i - 1][1] <= s) and (i == len(out) or out[i][0] >= e):
+            out.insert(i, (s, e, p))
+    return out
+
+
 def scan(text: str, rate: float = RATE) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) of all spans, in order; base spans first found per kind, whatever the battery says."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
@@ -109,13 +127,16 @@ def scan(text: str, rate: float = RATE) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     taken, tested = sorted((s, e) for s, _, e in spans), []
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if token.isalpha() and (token.islower() or token[1:].islower() or token.isupper()):
-            continue
-        if any(s < m.end() and e > m.start() for s, e in taken):
-            continue
-        if found := battery(token):
-            tested.append((m.start(), m.end(), found[1]))
+        runs = []
+        for a, b in runs_of(m[0]):
+            token, start, end = m[0][a:b], m.start() + a, m.start() + b
+            if token.isalpha() and (token.islower() or token[1:].islower() or token.isupper()):
+                continue
+            if any(s < end and e > start for s, e in taken):
+                continue
+            if found := battery(token):
+                runs.append((start, end, found[1]))
+        tested += apart(runs, rate) if len(runs) > 1 else runs
     return sorted(spans + [(s, 3, e) for s, e in discoveries(tested, rate)])
 
 

@@ -53,3 +53,23 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, TEXTS[0], 9), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     rows = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact_documents(df).collect()}
     assert rows == {1: ('[secret]"', 9), 2: (None, None), 3: ("clean", 5)}
+
+
+def test_random_strings_behind_names_and_in_paths():
+    rng = random.Random(7)
+    for form in ("SESSION_KEY={}", "sig={}", "x_id={}&y=1", "https://a.example/reset-link/{}", "/reset/link/{} "):
+        for code in (base64.b64encode, base64.urlsafe_b64encode):
+            found = 0
+            for _ in range(50):
+                token = code(rng.randbytes(32)).decode()
+                text = form.format(token)
+                at = text.index(token)
+                found += any(k == 3 and s <= at and e >= at + len(token) for s, k, e in secrets.scan(text))
+            assert found >= 40, (form, code, found)
+    assert not any(k == 3 for _, k, _ in secrets.scan("/docs/getting-started/internationalisation=getDocumentFactoryById/READ_ONLY_version2"))
+
+
+def test_overlapping_runs():
+    assert secrets.runs_of("ab-" + "c" * 20 + "/" + "d" * 20 + "=") == [(0, 23), (3, 45), (24, 45)]
+    assert secrets.apart([(0, 23, 0.5), (3, 45, 1e-6), (24, 45, 1e-9)], 1e-4) == [(3, 45, 1e-6)]
+    assert secrets.apart([(0, 23, 0.5), (3, 45, 0.4), (24, 45, 0.1)], 1e-4) == [(0, 23, 0.5), (24, 45, 0.1)]
