@@ -73,3 +73,17 @@ def test_overlapping_runs():
     assert secrets.runs_of("ab-" + "c" * 20 + "/" + "d" * 20 + "=") == [(0, 23), (3, 45), (24, 45)]
     assert secrets.apart([(0, 23, 0.5), (3, 45, 1e-6), (24, 45, 1e-9)], 1e-4) == [(3, 45, 1e-6)]
     assert secrets.apart([(0, 23, 0.5), (3, 45, 0.4), (24, 45, 0.1)], 1e-4) == [(0, 23, 0.5), (24, 45, 0.1)]
+
+
+def test_recall_by_encoding():
+    alphabets, least = dict(secrets.ENCODINGS), {"HEX": 0.65, "base32": 0.45, "base36": 0.8, "BASE36": 0.8, "base62": 0.95, "base64": 0.95, "base64url": 0.95}
+    rng, words = random.Random(9), ["order", "item", "version", "release", "customer", "part", "report"]
+    for name, share in least.items():
+        found = 0
+        for _ in range(200):
+            token = "".join(rng.choice(alphabets[name]) for _ in range(40))
+            found += any(k == 3 for _, k, _ in secrets.scan(f"see {token} there"))
+        assert found >= share * 200, (name, found)
+    for _ in range(200):
+        text = "".join(f"{rng.choice(words)}{rng.randrange(2020, 2030)}" for _ in range(4))
+        assert not any(k == 3 for t in (text, text.upper()) for _, k, _ in secrets.scan(f"see {t} there")), text
