@@ -264,7 +264,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     # A list's sets are compared with one of them, another one each round, which costs as many comparisons as the list has members; groups with
     # their smallest partner. What is in one component by then needs no comparison.
     def placed(df: DataFrame, column: str, to: str) -> DataFrame:
-        return df if where is None else df.join(where.toDF(column, "_c"), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
+        return df.withColumn(to, F.col(column)) if where is None else df.join(where.toDF(column, "_c"), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
 
     def compare(new: DataFrame, name: str) -> None:
         nonlocal links, where, done
@@ -286,8 +286,6 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
         if not turn:
             tried = tried.union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         compare(tried, f"tried-{turn}")
-        if where is None:
-            break
         open_lists = stored(_open(placed(lists, "node", "c")), "open-lists")
         if open_lists.isEmpty():
             break
@@ -296,16 +294,15 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     # have enough entries in long lists. Pairs that share other entries are among the pairs of groups.
     sets_a, sets_b = expand.toDF("ga", "a"), expand.toDF("gb", "b")
     rest = pairs.toDF("ga", "gb").join(sets_a, "ga").join(sets_b, "gb").select(*ordered("a", "b"))
-    if where is not None:
-        rest = placed(placed(rest, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-        sizes = open_lists.groupBy("what", "list", "c").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("what", "list").agg(F.max(F.struct("k", "c")).alias("main"))
-        outside = open_lists.join(main, ["what", "list"]).filter("c <> main.c").select("what", "list", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "c", "band", "apart")])
-        outside = outside.withColumn("band", F.explode(F.array(F.col("band_x") - 1, F.col("band_x"), F.col("band_x") + 1)))
-        left = outside.join(open_lists, ["what", "list", "band"])
-        left = left.filter((F.col("c_x") != F.col("c")) & _possible("n", "n_x", "least(apart, apart_x)", percent))
-        left = left.groupBy(*ordered("node", "node_x")).agg(F.count("*").alias("together"), F.first("n").alias("n"), F.first("n_x").alias("n_x"), F.max("what").alias("what"))
-        rest = rest.union(left.filter((F.col("what") == 1) | _possible("n", "n_x", "together", percent)).select("a", "b"))
+    rest = placed(placed(rest, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+    sizes = open_lists.groupBy("what", "list", "c").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("what", "list").agg(F.max(F.struct("k", "c")).alias("main"))
+    outside = open_lists.join(main, ["what", "list"]).filter("c <> main.c").select("what", "list", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "c", "band", "apart")])
+    outside = outside.withColumn("band", F.explode(F.array(F.col("band_x") - 1, F.col("band_x"), F.col("band_x") + 1)))
+    left = outside.join(open_lists, ["what", "list", "band"])
+    left = left.filter((F.col("c_x") != F.col("c")) & _possible("n", "n_x", "least(apart, apart_x)", percent))
+    left = left.groupBy(*ordered("node", "node_x")).agg(F.count("*").alias("together"), F.first("n").alias("n"), F.first("n_x").alias("n_x"), F.max("what").alias("what"))
+    rest = rest.union(left.filter((F.col("what") == 1) | _possible("n", "n_x", "together", percent)).select("a", "b"))
     compare(rest, "rest")
     where = where if where is not None else members.select("node", F.col("node").alias("component")).limit(0)
 

@@ -126,6 +126,15 @@ def test_jaccard_components(spark, awkward, seed, long_list):
     assert [(n, c) for _, n, c in rows] == plain_components(texts)
 
 
+def test_jaccard_similar_sets_in_neighbouring_bands(spark):
+    """No hub has anything to compare in the first round; the two short texts, of 31 and 32 shingles, are similar all the same."""
+    passage = " ".join(f"p{i}" for i in range(34))
+    texts = [f"{passage} a0", f"{passage} b0 b1", *(f"{passage} {' '.join(f'l{n}x{j}' for j in range(n))}" for n in (40, 90, 180, 360, 720))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(tuple(r) for r in jaccard.similar_documents(df, long_list=2, often=99).collect())
+    assert [(n, c) for _, n, c in rows] == plain_components(texts) and rows[1][2] == 0
+
+
 def test_jaccard_awkward_rows(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (3, "A B C D E F"), (None, "a b c d e f"), (None, "unique words only here"), (9, None)], "doc_id long, text string")
     rows = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(df).collect()), key=str)
