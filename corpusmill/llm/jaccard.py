@@ -213,7 +213,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
 
     def of(column: str, data: str) -> DataFrame:
-        some = marked(sets, F.col("node"), pairs.select(column).distinct()).filter("_marked")  # only sets of these pairs are shuffled
+        some = marked(sets, F.col("node"), pairs.select(column)).filter("_marked")  # only sets of these pairs are shuffled
         return some.select(F.col("node").alias(column), F.col("data").alias(data))
 
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")

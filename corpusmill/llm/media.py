@@ -1,8 +1,9 @@
 """Media columns: payloads stored as images in archives, read back by a data source that plans byte ranges.
 
-A payload becomes an 8-bit grey PNG, 192 samples wide. Each task writes archives of images; the source lists only archive files and their
-sizes, plans a partition per byte range, and a partition reads the members whose headers begin in its range. Every member is read, checked
-and if need be read again on its own, by its offset, so one bad read doesn't repeat the others.
+A payload becomes an 8-bit grey PNG, 192 samples wide. Each task writes archives of images under names that no other attempt uses, and a manifest
+lists those of the attempts that Spark committed. The source takes archives and their sizes from the manifest (or lists the folder), plans a
+partition per byte range, and a partition reads the members whose headers begin in its range. Every member is read, checked and if need be
+read again on its own, by its offset, so one bad read doesn't repeat the others.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .archives import Member, ZipBuilder, directory, read_member
-from .runtime import SharedFile, bound_batches, listed, shared_folder, texts_of, write_whole
+from .runtime import SharedFile, bound_batches, listed, shared_folder, stored, texts_of, write_new
 
 #: Samples in a row, and the byte that fills a payload up.
 WIDTH, FILL = 192, 32
@@ -81,22 +82,22 @@ def feature_of(samples: np.ndarray) -> str:
 
 
 def write_media(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes docs(doc_id, text) as images to archives in folder when an action runs; rows: archive, members, bytes. A null text counts as
-    empty; a null doc_id is kept. A member's name holds the id and the length before filling. A repeated task writes the same files again."""
+    """Writes docs(doc_id, text) as images to archives in folder when an action runs; rows: archive, members, bytes, which stored make the
+    manifest that readers want. A null text counts as empty; a null doc_id is kept; repeated rows are members each; an empty table makes no
+    archive; columns of docs other than doc_id and text are ignored, whatever their names. A text of any length is one member. A member's name
+    holds the id and the length before filling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, made = TaskContext.get().partitionId(), 0, []
-        zip_ = ZipBuilder()
+        part, made, zip_ = TaskContext.get().partitionId(), [], ZipBuilder()
 
         def close() -> None:
-            nonlocal zip_, number
+            nonlocal zip_
             if len(zip_):
-                name = f"part-{part:06d}-{number:04d}{SUFFIX}"
-                made.append((name, len(zip_), zip_.size))
-                write_whole(folder, name, zip_.parts())
-                zip_, number = ZipBuilder(), number + 1
+                parts = zip_.parts()
+                made.append((write_new(folder, f"part-{part:06d}{SUFFIX}", parts), len(zip_), sum(map(len, parts))))
+                zip_ = ZipBuilder()
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
@@ -113,8 +114,9 @@ def write_media(docs: DataFrame, folder: str) -> DataFrame:
 
 
 class MediaSource(DataSource):
-    """Members of the archives in a folder. Options: path; rangeBytes; retries, of one member; mode: failfast (a member that stays bad
-    ends the read) or permissive (it comes with a null media and the error)."""
+    """Members of the archives in a folder. Options: path; manifest, the writer's stored rows (without it, all archives in the folder);
+    rangeBytes; retries, of a directory or one member; mode: failfast (a member that stays bad ends the read) or permissive (it comes with a
+    null media and the error)."""
 
     @classmethod
     def name(cls) -> str:
@@ -135,14 +137,25 @@ class ByteRange(InputPartition):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].rstrip("/")
+        self.path, self.manifest = options["path"].rstrip("/"), options.get("manifest")
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
         self.retries, self.permissive = int(options.get("retries", 3)), options.get("mode", "failfast").lower() == "permissive"
 
     def partitions(self) -> list[ByteRange]:
-        found = [ByteRange(uri, lo, min(size, lo + self.range_bytes)) for uri, size in listed(self.path, SUFFIX) for lo in range(0, size, self.range_bytes)]
+        found = [ByteRange(uri, lo, min(size, lo + self.range_bytes)) for uri, size in listed(self.path, SUFFIX, self.manifest) for lo in range(0, size, self.range_bytes)]
         return found or [ByteRange("", 0, 0)]
 
+    def opened(self, uri: str) -> tuple[SharedFile, list[Member]]:
+        """An archive and its directory, tried as often as a member."""
+        for attempt in range(1, self.retries + 2):
+            try:
+                file = SharedFile(uri)
+                return file, directory(file)
+            except (OSError, ValueError) as e:
+                error = e
+                time.sleep(0.05 * attempt)
+        raise error
+
     def fetch(self, uri: str, file, member: Member):
         """(file, data, attempts, error): reads one member at its offset, each time on a fresh handle after the first."""
         for attempt in range(1, self.retries + 2):
@@ -163,9 +176,9 @@ class MediaReader(DataSourceReader):
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.uri:
             return
-        file = SharedFile(partition.uri)
+        file, members = self.opened(partition.uri)
         rows, held = [], 0
-        for m in directory(file):
+        for m in members:
             if not partition.lo <= m.header < partition.hi:
                 continue
             file, data, attempts, error = self.fetch(partition.uri, file, m)
@@ -219,5 +232,5 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "media")
-    write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder).agg({"members": "sum"}).collect()
-    return media_features(read_media(spark, folder))
+    manifest = stored(write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder), "media-manifest")
+    return media_features(read_media(spark, folder, manifest=f"{manifest._stored_at}/t"))

@@ -1,10 +1,12 @@
 """Exact top-k search by inner product: MaxScore over shards of signed postings.
 
 A term is a dimension with a sign; a vector's component puts the vector into the posting of the dimension's positive or negative term. A query
-weights the terms whose sign agrees with its own components; the others can only lower a score and have a bound of zero. In a shard, the
-largest component of each term bounds what the term can give. Terms in the order of these bounds split where what is left can't reach the
-k-th best score so far: the postings before the split are essential and traversed, the rest are probed, a few at a time, only for vectors
-that are still competitive. Shards of a group raise each other's threshold; a window merges the groups.
+weights the terms whose sign agrees with its own components; a component of the other sign can only lower a score and has a bound of zero. In
+a shard, the largest component of each term bounds what the term can give. Terms in the order of these bounds split where what the rest can
+give together stays under the k-th best score so far: the postings before the split are essential, and all of them are traversed, adding up
+partial scores; vectors in none of them are no candidates. The other terms are probed, a few at a time, and only for candidates whose partial
+score and remaining bounds still reach the threshold. Vectors are dense, so a posting is stored as its dimension's column, and membership as
+bits by sign. Shards of a group raise each other's threshold; a window merges the groups.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .runtime import bound_batches
 
-#: Vectors in a shard, shards in a group at most, queries in a block, terms that are probed at a time.
-SHARD, GROUP, BLOCK, PROBE = 8192, 64, 4096, 12
+#: Bytes of a shard's components (long) and vectors in it at most; bytes of the shards of a group, and of the queries of a block, at most;
+#: terms that are probed at a time.
+SHARD_BYTES, SHARD, GROUP_BYTES, BLOCK_BYTES, PROBE = 4 << 20, 8192, 256 << 20, 2 << 20, 8
 
 
 def integer_vectors(vectors: DataFrame, factor: float = 64.0) -> DataFrame:
@@ -49,41 +52,45 @@ class Best:
 
 
 class Shard:
-    """Postings by column, with the largest component of each signed term."""
+    """Postings by column, each vector's membership by sign, and the largest component of each signed term. traversed and probed count the
+    postings' entries that searches added up, essential and other."""
 
     def __init__(self, ids: np.ndarray, m: np.ndarray, exact: type):
         self.ids, self.columns = ids, np.ascontiguousarray(m.T).astype(exact)
         self.up, self.down = np.maximum(m.max(0, initial=0), 0), np.maximum((-m).max(0, initial=0), 0)
+        self.above, self.below = np.packbits(self.columns > 0, axis=1), np.packbits(self.columns < 0, axis=1)
+        self.traversed = self.probed = 0
 
     def search(self, own: int, q: np.ndarray, best: Best) -> None:
         """Adds to best what of this shard belongs there; rows with the query's own id never do."""
         bound = np.where(q > 0, q * self.up, -q * self.down)
         order = np.argsort(-bound, kind="stable")
-        left = np.concatenate([bound[order][::-1].cumsum()[::-1], [0]])
+        left = np.concatenate([bound[order][::-1].cumsum()[::-1], [0]])  # what the terms from a place on can give together
         threshold = best.threshold
-        essential = int(np.searchsorted(-left, -threshold, side="right")) if threshold > 0 else len(order)
-        if essential == 0 and threshold > 0:
+        # A vector that ties with the k-th may have the smaller id, so only terms that stay under the threshold together aren't essential.
+        split = int(np.searchsorted(-left, -threshold, side="right")) if threshold > 0 else len(order)
+        if split == 0 and threshold > 0:
             return  # not even all bounds together reach the threshold
-        essential = min(essential, len(order))
-        first = order[:PROBE]
-        score = q[first].astype(self.columns.dtype) @ self.columns[first]
-        reach = score + left[len(first)] >= threshold
-        if essential <= len(first) < len(order):  # a vector outside every essential posting is not a candidate
-            sign = np.sign(q[order[:essential]]).astype(self.columns.dtype)
-            reach &= (self.columns[order[:essential]] * sign[:, None] > 0).any(0)
-        alive, at = None, len(first)
-        while True:
-            if not reach.all():
-                kept = np.flatnonzero(reach)
-                alive, score = kept if alive is None else alive[kept], score[kept]
-            if at >= len(order) or not len(score):
-                break
+        essential = order[: min(split, len(order))]
+        weight = q.astype(self.columns.dtype)
+        score = weight[essential] @ self.columns[essential] if len(essential) else np.zeros(len(self.ids), self.columns.dtype)
+        self.traversed += len(essential) * len(self.ids)
+        reach = score + left[len(essential)] >= threshold
+        if len(essential) < len(order):
+            up, down = essential[q[essential] > 0], essential[q[essential] < 0]
+            member = np.bitwise_or.reduce(self.above[up], axis=0) | np.bitwise_or.reduce(self.below[down], axis=0)
+            reach &= np.unpackbits(member, count=len(self.ids)).astype(bool)
+        alive = np.flatnonzero(reach)
+        score = score[alive]
+        for at in range(len(essential), len(order), PROBE):
+            if not len(alive):
+                return
             some = order[at : at + PROBE]
-            rows = self.columns[some] if alive is None else self.columns[np.ix_(some, alive)]
-            score = score + q[some].astype(self.columns.dtype) @ rows
-            at += len(some)
-            reach = score + left[at] >= threshold
-        ids = self.ids if alive is None else self.ids[alive]
+            score = score + weight[some] @ self.columns[np.ix_(some, alive)]
+            self.probed += len(some) * len(alive)
+            reach = score + left[min(at + PROBE, len(order))] >= threshold
+            alive, score = alive[reach], score[reach]
+        ids = self.ids[alive]
         other = ids != own
         ids, score = ids[other], score[other].astype(np.int64)
         if len(score) > best.k:  # ties with the k-th stay
@@ -125,31 +132,36 @@ def search_group(queries: pa.Table, shards: pa.Table, k: int) -> pa.Table:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the largest inner products for each query, ties to the smaller id; all, where there
-    are fewer. Both inputs have vec_id and v (array of long); shorter vectors count as filled up with zeros. A row with the query's own id is
-    never in its result. Repeated rows are results each; of queries with one id the smallest vector counts. An empty table gives no rows.
-    Blocks of queries meet groups of shards, so each task holds one of either, whatever the sizes of the tables."""
+    are fewer. Both inputs have vec_id and v (array of long), and other columns are ignored; shorter vectors count as filled up with zeros. A
+    row with the query's own id is never in its result. Repeated rows are results each; queries that share an id are all asked, and the k best
+    of their results together count. An empty table gives no rows. Blocks of queries meet groups of shards; both are dealt by row number,
+    whatever ids repeat, and hold a bounded number of bytes, so each task holds one of either, whatever the sizes of the tables."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_vectors, n_queries = vectors.count(), asked.count()
+    count = lambda df: df.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    (n_vectors, width), (n_queries, query_width) = count(vectors), count(queries)
+    row_bytes = 8 * max(width, query_width, 1)
+    shard = max(1, min(SHARD, SHARD_BYTES // row_bytes))
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = max(1, -(-n_queries // BLOCK))
-    n_groups = max(1, min(-(-parallel // n_blocks), -(-n_vectors // 1024)), -(-n_vectors // (SHARD * GROUP)))
+    n_blocks = max(1, -(-n_queries * row_bytes // BLOCK_BYTES))
+    n_groups = max(1, min(-(-parallel // n_blocks), -(-n_vectors // 1024)), -(-n_vectors * row_bytes // GROUP_BYTES))
+    n_shards = max(n_groups, -(-n_vectors // shard))
     schema = "ids binary, m binary, size int"
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        size = max((len(r["v"]) for r in rows), default=0)
-        m = np.zeros((len(rows), size), np.int64)
-        for line, r in zip(m, rows):
-            line[: len(r["v"])] = r["v"]
-        return pa.table({"part": pa.array([rows[0]["part"]], pa.int64()), "ids": pa.array([np.array([r["vec_id"] for r in rows], np.int64).tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary()), "size": pa.array([size], pa.int32())})
-
-    n_shards = max(n_groups, -(-n_vectors // SHARD))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part")
-    shards = vectors.select(part(n_shards), "vec_id", "v").groupBy("part").applyInArrow(gather, f"part long, {schema}")
-    blocks_ = asked.select(part(n_blocks), "vec_id", "v").groupBy("part").applyInArrow(gather, f"part long, {schema}")
-    left = blocks_.withColumn("block", F.col("part")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+        values, ids = table.column("v").combine_chunks(), table.column("vec_id").to_numpy()
+        lengths, flat = values.value_lengths().to_numpy(zero_copy_only=False), values.flatten().to_numpy()
+        size = int(lengths.max(initial=0))
+        m = np.zeros((len(ids), size), np.int64)
+        m[np.arange(size) < lengths[:, None]] = flat
+        return pa.table({"part": table.column("part").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary()), "size": pa.array([size], pa.int32())})
+
+    def dealt(df: DataFrame, parts: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("part")
+        return df.select(part, "vec_id", "v").groupBy("part").applyInArrow(gather, f"part long, {schema}")
+
+    shards, blocks = dealt(vectors, n_shards), dealt(queries, n_blocks)
+    left = blocks.withColumn("block", F.col("part")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     right = shards.withColumn("g", (F.col("part") % n_groups).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     pairs = left.groupBy("block", "g").cogroup(right.groupBy("block", "g")).applyInArrow(lambda a, b: search_group(a, b, k), RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -2,7 +2,8 @@
 
 A package is a ZIP archive of stored members: archive/data.warc.gz, whose records are gzip members of their own, and indexes/index.cdxj,
 a line a record with its place in the other. A reader finds both by the central directory (ZIP64 included), takes the index lines whose
-records begin in its byte range, and reads just those bytes.
+records begin in its byte range, and reads just those bytes. Packages have names that no other attempt of a task uses; a manifest lists those of
+the attempts that Spark committed, so records are neither lost nor doubled when a repeated task sees its rows in another order.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from .archives import ZipBuilder, data_offset, directory, read_member
 from .media import ByteRange
-from .runtime import SharedFile, bound_batches, listed, shared_folder, write_whole
+from .runtime import SharedFile, bound_batches, listed, shared_folder, stored, write_new
 
 DATA, INDEX, SUFFIX = "archive/data.warc.gz", "indexes/index.cdxj", ".wacz"
 #: Compressed bytes at which a task begins another package, and that a partition reads.
@@ -83,25 +84,25 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, folder: str, zip64: bool = False) -> DataFrame:
-    """Writes pages(page_id, url, html, refers_to) to packages in folder when an action runs; rows: package, records."""
+    """Writes pages(page_id, url, html, refers_to) to packages in folder when an action runs; rows: package, records, bytes, which stored make
+    the manifest that readers want. A record of any length is one member of its package; an empty table makes no package."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, made, records, lines, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, made, records, lines, held = TaskContext.get().partitionId(), [], [], [], 0
 
         def close() -> None:
-            nonlocal number, records, lines, held
+            nonlocal records, lines, held
             if not records:
                 return
             z = ZipBuilder(zip64)
             z.add(DATA, b"".join(records))
             z.add(INDEX, "".join(lines).encode())
             z.add("datapackage.json", json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": DATA}, {"path": INDEX}]}).encode())
-            name = f"part-{part:06d}-{number:04d}{SUFFIX}"
-            write_whole(folder, name, z.parts())
-            made.append((name, len(records)))
-            number, records, lines, held = number + 1, [], [], 0
+            parts = z.parts()
+            made.append((write_new(folder, f"part-{part:06d}{SUFFIX}", parts), len(records), sum(map(len, parts))))
+            records, lines, held = [], [], 0
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -112,14 +113,15 @@ def write_warc(pages: DataFrame, folder: str, zip64: bool = False) -> DataFrame:
                 if held >= PACKAGE_BYTES:
                     close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.int64())], names=["package", "records"])
+        columns = [pa.array([x[i] for x in made], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["package", "records", "bytes"])
 
     bound_batches(pages.sparkSession)
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html", "refers_to").mapInArrow(run, "package string, records long")
+    return pages.selectExpr("cast(page_id as long) page_id", "url", "html", "refers_to").mapInArrow(run, "package string, records long, bytes long")
 
 
 class WarcSource(DataSource):
-    """Records of the packages in a folder. Options: path; rangeBytes."""
+    """Records of the packages in a folder. Options: path; manifest, the writer's stored rows (without it, all packages in the folder); rangeBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -134,10 +136,10 @@ class WarcSource(DataSource):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.range_bytes = options["path"].rstrip("/"), int(options.get("rangeBytes", RANGE_BYTES))
+        self.path, self.manifest, self.range_bytes = options["path"].rstrip("/"), options.get("manifest"), int(options.get("rangeBytes", RANGE_BYTES))
 
     def partitions(self) -> list[ByteRange]:
-        found = [ByteRange(uri, lo, min(size, lo + self.range_bytes)) for uri, size in listed(self.path, SUFFIX) for lo in range(0, size, self.range_bytes)]
+        found = [ByteRange(uri, lo, min(size, lo + self.range_bytes)) for uri, size in listed(self.path, SUFFIX, self.manifest) for lo in range(0, size, self.range_bytes)]
         return found or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -176,8 +178,8 @@ def read_warc(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
-    write_warc(deduplicated(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder).agg({"records": "sum"}).collect()
-    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = stored(write_warc(deduplicated(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder), "warc-manifest")
+    return read_warc(spark, folder, manifest=f"{manifest._stored_at}/t").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base32 of the SHA-1: bits of the digest five at a time.

@@ -77,6 +77,36 @@ def test_members_are_retried_and_reported_alone(spark, tmp_path):
         media.read_media(spark, folder, retries=0).collect()
 
 
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    from corpusmill.llm.runtime import stored
+
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").repartition(3)
+    folder = f"file://{tmp_path}/m"
+    manifest = stored(media.write_media(df, folder), "manifest")._stored_at + "/t"
+    media.write_media(df.limit(5), folder).collect()  # what a failed or speculative attempt leaves
+    assert media.read_media(spark, folder).count() == 25
+    assert sorted(r["doc_id"] for r in media.read_media(spark, folder, manifest=manifest, rangeBytes=300).collect()) == list(range(20))
+    pages = spark.createDataFrame([(i, "u", f"<p>{i % 7}</p>") for i in range(20)], "page_id long, url string, html string").repartition(3)
+    folder = f"file://{tmp_path}/w"
+    manifest = stored(warc.write_warc(warc.deduplicated(pages), folder), "manifest")._stored_at + "/t"
+    warc.write_warc(warc.deduplicated(pages), folder).collect()
+    assert warc.read_warc(spark, folder).count() == 40
+    assert sorted(r["page_id"] for r in warc.read_warc(spark, folder, manifest=manifest).collect()) == list(range(20))
+    none = stored(warc.write_warc(warc.deduplicated(pages.limit(0)), folder), "manifest")._stored_at + "/t"
+    assert warc.read_warc(spark, folder, manifest=none).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from corpusmill.llm.runtime import shared_root
+
+    conf = SimpleNamespace(get=lambda _: None)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(isLocal=lambda: False))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_root(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, _jsc=jsc)))
+
+
 def test_png_is_png():
     image = media.to_png(media.padded(b"hello"))
     assert bytes(media.from_png(image)) == b"hello".ljust(192)

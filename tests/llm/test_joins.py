@@ -15,8 +15,8 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 def plain_top(rows, k=20):
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in {i: v for i, v in reversed(sorted(ok)) if i % 20 == 0}.items():
-        scored = sorted((-sum(x * y for x, y in zip(a, v)), i) for i, v in ok if i != q)[:k]
+    for q in sorted({i for i, _ in ok if i % 20 == 0}):
+        scored = sorted((-sum(x * y for x, y in zip(a, v)), i) for p, a in ok if p == q for i, v in ok if i != q)[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -26,7 +26,7 @@ def test_top_k(spark, scale):
     rng = random.Random(7)
     pick = lambda: rng.choice([-0.5, -0.25, 0.0, 0.25, 0.5, rng.uniform(-1, 1)]) * scale
     rows = [(i, [pick() for _ in range(8)]) for i in range(300)]
-    rows += [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] + [0.0] * 7), (None, [0.1] * 8), (304, rows[0][1]), (304, rows[0][1]), (320, [0.0] * 8), (305, [])]
+    rows += [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] + [0.0] * 7), (None, [0.1] * 8), (304, rows[0][1]), (304, rows[0][1]), (40, rows[7][1]), (320, [0.0] * 8), (305, [])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
     v = topk.integer_vectors(df)
     import numpy as np
@@ -39,6 +39,22 @@ def test_top_k(spark, scale):
     assert topk.top_k(few, few.filter("vec_id = 0")).count() == 2
 
 
+def test_shards_probe_only_what_competes():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    m = np.floor(64 * rng.normal(size=(4000, 64)) * np.linspace(3, 0.02, 64)).astype(np.int64)
+    shard, plain = topk.Shard(np.arange(4000), m, np.float64), m @ m.T
+    for own in range(0, 4000, 400):
+        best = topk.Best(20)
+        best.add(np.arange(5000, 5020), np.sort(np.delete(plain[own], own))[-20:] - 1)  # a threshold from another shard
+        shard.search(own, m[own], best)
+        want = sorted((-s, i) for i, s in enumerate(plain[own].tolist()) if i != own)[:20]
+        assert [(int(-s), int(i)) for i, s in zip(best.ids, best.scores) if i < 4000][:5] == want[:5]
+    every = 10 * 64 * 4000
+    assert shard.traversed < every / 2 and 0 < shard.probed < every / 10
+
+
 def plain_repeats(texts, window):
     words = [wordhash.WORD.findall(t or "") for t in texts]
     count = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -71,6 +87,34 @@ def test_repeated_rows_and_null_ids(spark):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_many_equal_rows_and_one_hot_anchor(spark):
+    same = " ".join(f"w{i}" for i in range(300))
+    line = " ".join(f"common{i}" for i in range(14))
+    hot = [" ".join([*(f"a{k}x{i}" for i in range(15)), line, *(f"b{k % 40}x{i}" for i in range(22))]) for k in range(400)]
+    texts = [same] * 2000 + hot
+    df = spark.createDataFrame([(7 if t == same else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = [tuple(r) for r in substring.remove_repeats(df).collect()]
+    want = plain_repeats(texts, 35)
+    assert sorted(rows) == sorted((7 if t == same else i, *w) for i, (t, w) in enumerate(zip(texts, want)))
+
+
+def test_sketches_never_count_less(spark):
+    texts = [" ".join(f"w{(i * 7 + k) % 900}" for k in range(120)) for i in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    count = Counter(a for t in texts for a in substring.runs_by_anchor(wordhash.hashes_of(wordhash.words_of(t)))[2].tolist())
+    import numpy as np
+
+    for slice_bits in (0, 3):
+        held, bits = substring.repeated_cells(substring.sketch(df, substring.WINDOW, substring.ANCHOR, slice_bits))
+        anchors = np.array(list(count), np.uint64)
+        inside = np.ones(len(anchors), bool)
+        for row in substring.cells(anchors, slice_bits):
+            at = substring._places(row, bits)
+            inside &= (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        assert all(i for i, n in zip(inside, count.values()) if n > 1)
+        assert sum(inside) < len(count) or min(count.values()) > 1
+
+
 def test_drop_repeats_leaves_the_rest_alone(spark):
     passage = " ".join(f"p{i}" for i in range(35))
     df = spark.createDataFrame([(1, f"My  own\nstart {passage} end.", "x", 5), (2, f"{passage}\n\nOther", "y", 5), (3, "Clean  text\n", "z", 5)], "doc_id long, text string, source string, n_chars long")
@@ -153,6 +197,21 @@ def test_components_of_long_chains(spark):
     assert {rows[n] for n in nodes[:40]} == {min(nodes[:40])} and rows[nodes[40]] == rows[nodes[41]] and nodes[42] not in rows
 
 
+@pytest.mark.parametrize("kind", ["rising", "zigzag", "tree"])
+def test_components_take_few_rounds(spark, kind):
+    """Tables written by round: hooks, roots by doubling, labels, edges."""
+    from corpusmill.llm.runtime import recorded
+
+    n = 10_000 if kind == "rising" else 1000
+    edge = {"rising": "id a, id + 1 b", "zigzag": f"case when id % 2 = 0 then id / 2 else {n} + id end a, case when id % 2 = 0 then {n} + id + 1 else (id + 1) / 2 end b", "tree": "id + 1 a, cast((id * 7919 + 13) % (id + 1) as long) b"}[kind]
+    folders: list[str] = []
+    with recorded(folders):
+        rows = components.components(spark.range(n).selectExpr(edge.split(" a,")[0] + " as a", edge.split(" a,")[1].rsplit(" b", 1)[0] + " as b").selectExpr("cast(a as long) a", "cast(b as long) b"))
+    got = rows.groupBy("component").count().collect()
+    assert len(got) == 1 and got[0][0] == rows.agg({"node": "min"}).first()[0]
+    assert sum("/edges-" in f for f in folders) <= 6 and sum("/roots-" in f for f in folders) <= 20
+
+
 def test_word_runs_hash_by_content():
     h = wordhash.hashes_of(wordhash.words_of("a b c x a b c"))
     runs = wordhash.Runs(h, wordhash.BASE_A).all(3)
