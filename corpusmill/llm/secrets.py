@@ -1,19 +1,23 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings that no pattern knows.
 
 A candidate is a long run of characters that encodings use; inside it the longest runs of either base64 alphabet are tested, outside what the
-patterns found, so a name before `=` or the path before a token doesn't hide it. A run's encoding is the smallest alphabet that holds it. Three statistics say how little it resembles structured text in that encoding: chi-squared uniformity over the alphabet, runs of
-character classes, and serial correlation of neighbours. Each gives a p-value under a model of structured text; Stouffer's method combines
-them, and a weighted Benjamini-Hochberg step, whose weights grow with length, controls false discoveries in each document.
+patterns found, so a name before `=` or the path before a token doesn't hide it. A run's encoding is the smallest alphabet that holds it. Three
+statistics say how little it resembles structured text in that encoding: chi-squared uniformity over the alphabet, runs of character classes,
+and serial correlation of neighbours. Each gives a p-value under a model of structured text in that encoding; Stouffer's method combines them,
+and a weighted Benjamini-Hochberg step, whose weights grow with length, controls false discoveries in each document. Runs under LEAST_RUN
+characters say too little and aren't tested.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import operator
 import re
-from bisect import bisect
+from bisect import bisect, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,27 +31,46 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: Runs that may encode something, and the rate of false discoveries allowed in a document.
-CANDIDATE, RATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 1e-4
+CANDIDATE, RATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 0.01
 #: Runs of one alphabet inside a candidate, with the filling at its end, and the least length of what is tested.
 RUNS, LEAST_RUN = (re.compile(r"[A-Za-z0-9+/]{16,}(?:=+\Z)?"), re.compile(r"[A-Za-z0-9_-]{16,}(?:=+\Z)?")), 20
-#: Encodings from the smallest alphabet to the largest; each infers as the first that holds all characters before the filling.
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """An alphabet and its structured text: the chance that two characters agree, how often neighbours' classes change, and their mean serial
+    correlation. Text of letters changes class more often than random letters do, in all others less."""
+
+    name: str
+    alphabet: str
+    agree: float = 0.066
+    change: float = 0.34
+    correlated: float = 0.45
+    classes: str = "kinds"
+
+    def places(self) -> dict[str, int]:
+        return {c: i for i, c in enumerate(self.alphabet)}
+
+
+DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+UPPER, SPREAD = LOWER.upper(), 0.25
+#: Encodings from the smallest alphabet to the largest; each infers as the first that holds all characters before the filling. The models are
+#: rounded from identifiers, paths and numbers in Python source, without separators: about one in a hundred has a p-value under 0.01 to 0.03.
 ENCODINGS = (
-    ("decimal", "0123456789"),
-    ("hex", "0123456789abcdef"),
-    ("HEX", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    Encoding("decimal", DIGITS, 0.25, 0.25, classes="halves"),
+    Encoding("hex", DIGITS + LOWER[:6], 0.142, 0.2),
+    Encoding("HEX", DIGITS + UPPER[:6], 0.142, 0.2),
+    Encoding("letters", LOWER, 0.066, 0.6, classes="vowels"),
+    Encoding("LETTERS", UPPER, 0.066, 0.6, classes="vowels"),
+    Encoding("base32", UPPER + "234567", 0.08, 0.08),
+    Encoding("base36", DIGITS + LOWER, 0.066, 0.13),
+    Encoding("BASE36", DIGITS + UPPER, 0.066, 0.13),
+    Encoding("base62", DIGITS + UPPER + LOWER),
+    Encoding("base64", UPPER + LOWER + DIGITS + "+/", change=0.4),
+    Encoding("base64url", UPPER + LOWER + DIGITS + "-_", change=0.4),
 )
-SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS]
-#: Structured text: the chance that two characters agree, of a class change, and mean and deviation of neighbours' correlation.
-AGREE, CHANGE, CORRELATED, SPREAD = 0.066, 0.3, 0.45, 0.25
-#: The first two where letters have one case, so that classes change at numbers only. Rounded from identifiers in Python source without their
-#: separators: nine in ten change at up to 0.13 (base32) or 0.15 (base36) of places; hexadecimal ones at 0.24 on average and agree at 0.14.
-NULLS = {"base32": (AGREE, 0.13), "base36": (AGREE, 0.15), "BASE36": (AGREE, 0.15), "hex": (0.142, 0.24), "HEX": (0.142, 0.24)}
+SETS = [(e, frozenset(e.alphabet), e.places()) for e in ENCODINGS]
+VOWELS = frozenset("aeiouyAEIOUY")
 
 
 def _tail(z: float) -> float:
@@ -67,35 +90,38 @@ def _class(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-def infer(token: str) -> tuple[str, dict[str, int]] | None:
+CLASSES = {"kinds": _class, "halves": lambda c: c >= "5", "vowels": VOWELS.__contains__}
+
+
+def infer(token: str) -> tuple[Encoding, dict[str, int]] | None:
     """The smallest encoding whose alphabet holds the token, apart from filling at its end."""
     chars = set(token.rstrip("="))
-    return next(((name, order) for name, alphabet, order in SETS if chars <= alphabet), None)
+    return next(((e, order) for e, alphabet, order in SETS if chars <= alphabet), None)
 
 
 def battery(token: str) -> tuple[str, float] | None:
-    """(encoding, combined p-value that structured text looks as random as this); None for what no encoding holds, or one class of
-    characters alone, which these tests can't tell from a word or a number."""
+    """(encoding, combined p-value that structured text looks as random as this); None for what is too short or no encoding holds. A word with
+    a capital is tested as its small letters."""
     body = token.rstrip("=")
-    if len(body) < 16 or (found := infer(token)) is None:
-        return None
-    classes = [_class(c) for c in body]
-    if len(set(classes)) < 2:
+    if body[1:].islower() and body.isalpha():
+        body = body.lower()
+    if len(body) < 16 or (found := infer(body)) is None:
         return None
-    name, order = found
-    n, k, (agree, change) = len(body), len(order), NULLS.get(name, (AGREE, CHANGE))
+    e, order = found
+    n, k = len(body), len(order)
     x = sum(c * c for c in Counter(body).values()) * k / n - n
-    excess = (n - 1) * max(k * agree - 1, 0.5)
+    excess = (n - 1) * max(k * e.agree - 1, 0.5)
     z_uniform = (k - 1 + excess - x) / math.sqrt(2 * (k - 1) + 4 * excess)
-    changes = sum(a != b for a, b in zip(classes, classes[1:]))
-    z_runs = (changes - (n - 1) * change - 0.5) / math.sqrt((n - 1) * change * (1 - change))
+    classes = list(map(CLASSES[e.classes], body))
+    changes, mean = sum(map(operator.ne, classes, classes[1:])), (n - 1) * e.change
+    z_runs = ((mean - changes if e.classes == "vowels" else changes - mean) - 0.5) / math.sqrt(mean * (1 - e.change))
     v = [order[c] for c in body]
-    mean = sum(v) / n
-    power = sum((a - mean) ** 2 for a in v)
-    r = abs(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / power) if power else 1.0
-    z_serial = (CORRELATED - r) / math.hypot(SPREAD, 1 / math.sqrt(n))
+    middle = sum(v) / n
+    power = sum((a - middle) ** 2 for a in v)
+    r = abs(sum((a - middle) * (b - middle) for a, b in zip(v, v[1:])) / power) if power else 1.0
+    z_serial = (e.correlated - r) / math.hypot(SPREAD, 1 / math.sqrt(n))
     p = [min(max(_tail(z), 1e-15), 1 - 1e-15) for z in (z_uniform, z_runs, z_serial)]
-    return name, _tail(sum(map(_quantile, p)) / math.sqrt(3))
+    return e.name, _tail(sum(map(_quantile, p)) / math.sqrt(3))
 
 
 def discoveries(tested: list[tuple[int, int, float]], rate: float = RATE) -> list[tuple[int, int]]:
@@ -123,19 +149,30 @@ def apart(tested: list[tuple[int, int, float]], rate: float) -> list[tuple[int,
     return out
 
 
+def _merged(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that overlapping spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def scan(text: str, rate: float = RATE) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) of all spans, in order; base spans first found per kind, whatever the battery says."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    taken, tested = sorted((s, e) for s, _, e in spans), []
+    taken, tested = _merged((s, e) for s, _, e in spans), []
+    starts = [s for s, _ in taken]
     for m in CANDIDATE.finditer(text):
         runs = []
         for a, b in runs_of(m[0]):
             token, start, end = m[0][a:b], m.start() + a, m.start() + b
-            if token.isalpha() and (token.islower() or token[1:].islower() or token.isupper()):
-                continue
-            if any(s < end and e > start for s, e in taken):
+            i = bisect_right(starts, start)
+            if (i and taken[i - 1][1] > start) or (i < len(taken) and starts[i] < end):
                 continue
             if found := battery(token):
                 runs.append((start, end, found[1]))
@@ -161,8 +198,9 @@ RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 def scan_documents(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """Spans of each whole text, in code points, end exclusive. Null counts as empty: no spans, and the digest is that of the empty string.
-    Rows don't depend on each other; columns besides doc_id and text are ignored."""
+    """Spans of each whole text, in code points, end exclusive. Null counts as empty: no spans, and the digest is that of the empty string. A
+    null doc_id stays null. Rows don't depend on each other, so repeated rows give equal rows and an empty table gives none; columns besides
+    doc_id and text are ignored, whatever their names. Time grows with a text's length, times the logarithm of its spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
