@@ -17,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, pack, remainder, stored, texts_of, tree_sum, unpack
+from .runtime import bound_batches, pack, remainder, texts_of, tree_sum, unpack
 
 #: Words, numbers and runs of other marks are tokens, as they are written.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-BUCKETS, SIZE, NONZERO, REACH, SLICES = 1 << 14, 32, 4, 2, 16
+BUCKETS, SIZE, NONZERO, REACH, SLICES = 1 << 16, 32, 4, 2, 64
 #: Labelled rows that the network learns from at most, and those of them that set the temperature instead.
 SAMPLE, CALIBRATE = 20_000, 0.2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
-#: Tokens whose buckets a task remembers.
-REMEMBER = 200_000
+#: Tokens whose buckets a task remembers, and tokens that it gathers before it adds them up.
+REMEMBER, GATHER = 200_000, 1 << 20
 
 
 class Buckets:
@@ -62,18 +62,27 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
         places, signs, buckets = *index_vectors(), Buckets()
         total = np.zeros(BUCKETS * SIZE + BUCKETS, np.int64)
-        for batch in batches:
-            rows = [buckets(t) for t in texts_of(batch)]
-            if not rows or not (n := sum(map(len, rows))):
-                continue
+
+        def add(rows: list[np.ndarray]) -> None:
             ids, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
             total[BUCKETS * SIZE :] += np.bincount(ids, minlength=BUCKETS)
-            for step in range(1, min(REACH, n - 1) + 1):
+            for step in range(1, min(REACH, len(ids) - 1) + 1):
                 same = doc[:-step] == doc[step:]
                 a, b = ids[:-step][same], ids[step:][same]
                 for j in range(NONZERO):
                     for word, near in ((a, b), (b, a)):
-                        total[: BUCKETS * SIZE] += np.bincount(word * SIZE + places[near, j], signs[near, j], BUCKETS * SIZE).astype(np.int64)
+                        np.add.at(total, word * SIZE + places[near, j], signs[near, j])
+
+        rows, n = [], 0
+        for batch in batches:
+            for text in texts_of(batch):
+                rows.append(buckets(text))
+                n += len(rows[-1])
+                if n > GATHER:
+                    add(rows)
+                    rows, n = [], 0
+        if n:
+            add(rows)
         part = TaskContext.get().partitionId()
         blocks = [pack(x.tobytes()) for x in (*np.split(total[: BUCKETS * SIZE], SLICES), total[BUCKETS * SIZE :])]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array([part] * (SLICES + 1), pa.int32()), pa.array(blocks, pa.binary())], names=["slice", "part", "data"])
@@ -167,28 +176,35 @@ def fit(x: np.ndarray, y: np.ndarray, own: np.ndarray, seed: int = 7) -> Network
 
 
 def bounded_sample(labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, label and h of the labelled rows with the smallest hashes of their ids, sample at most. Hashes that can't be among them are left
-    out before rows are gathered, so what tasks send doesn't grow with their number."""
-    known = labels.filter("doc_id is not null and label is not null").select("doc_id", "label")
+    """doc_id, label and h of the labelled ids with the smallest hashes, sample at most; of labels that clash the larger counts. Hashes that can't
+    be among them are left out before rows are gathered, so what tasks send doesn't grow with their number."""
+    known = labels.filter("doc_id is not null and label is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
     known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     share = min(1.0, 1.1 * sample / max(1, known.count()))
-    return known.filter(F.col("h") < F.lit(int(share * (1 << 40)) + 1)).orderBy("h", "doc_id", "label").limit(sample)
+    return known.filter(F.col("h") < F.lit(int(share * (1 << 40)) + 1)).orderBy("h", "doc_id").limit(sample)
 
 
-def learn(vectors: DataFrame, labels: DataFrame) -> Network:
-    """From labels, a bounded sample; which of its rows set the temperature goes by their hashes."""
-    rows = vectors.join(labels, "doc_id").select("features", "label", "h", "doc_id").collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["label"]))
-    x = np.array([np.frombuffer(r["features"], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * SIZE + 5)
-    own = np.array([(r["h"] >> 8) % 1000 < CALIBRATE * 1000 for r in rows], bool)
-    return fit(x, np.array([r["label"] for r in rows], int), own)
+def learn(docs: DataFrame, vectors: np.ndarray, labels: DataFrame, sample: int) -> Network:
+    """From the documents of a bounded sample of labels, which alone are read for that; which of them set the temperature goes by their hashes.
+    Of rows that share an id one counts, whatever the order of the rows."""
+    spark = docs.sparkSession
+    known = {r["doc_id"]: (int(r["label"]), r["h"]) for r in bounded_sample(labels, sample).collect()}
+    chosen = spark.createDataFrame([(d,) for d in known], "doc_id long")
+    few = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # sample rows at most
+    rows = document_vectors(few, vectors).groupBy("doc_id").agg(F.min("features").alias("features")).collect()
+    rows = sorted((known[r["doc_id"]][1], r["doc_id"], known[r["doc_id"]][0], r["features"]) for r in rows)
+    x = np.array([np.frombuffer(f, np.float32) for _, _, _, f in rows], np.float64).reshape(len(rows), 2 * SIZE + 5)
+    own = np.array([(h >> 8) % 1000 < CALIBRATE * 1000 for h, _, _, _ in rows], bool)
+    return fit(x, np.array([y for _, _, y, _ in rows], int), own)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id and the probability that a document's label is 1. labels: doc_id, label; rows with a null are left out. Empty and null texts are
-    scored like any other; an empty table gives no rows; repeated rows get equal scores."""
-    features = stored(document_vectors(docs, word_vectors(docs)), "quality-vectors")
-    net = learn(features, bounded_sample(labels, sample))
+    """doc_id and the probability that a document's label is 1. labels: doc_id, label; rows with a null are left out, of labels that clash the
+    larger counts. Empty and null texts are scored like any other, and texts of any length whole; an empty table gives no rows; repeated rows get
+    equal scores; columns besides doc_id and text are ignored, whatever their names. Word vectors come from all of docs; the network learns
+    from the sample ids with the smallest hashes; then every document is scored where it is read."""
+    vectors = word_vectors(docs)
+    net = learn(docs, vectors, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,17 +212,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             p = np.round(net.probabilities(x), 9) if len(x) else np.zeros(0)  # the last bits depend on which rows share a batch
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return features.mapInArrow(run, "doc_id long, score double")
+    return document_vectors(docs, vectors).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """docs whose score is at least least, with all their columns. Word vectors come from all of docs; the network learns from the sample rows
-    of labels with the smallest hashes, whose documents alone are read for that; then every document is scored where it is read."""
+    """docs whose score (see score_quality) is at least least, with all their columns."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     vectors = word_vectors(docs)
-    chosen = spark.createDataFrame(bounded_sample(labels, sample).collect(), "doc_id long, label int, h long")
-    few = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # sample rows at most
-    net = learn(document_vectors(few, vectors), chosen)
+    net = learn(docs, vectors, labels, sample)
     shared = spark.sparkContext.broadcast(vectors)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,9 @@
 Words and their beginnings are counted in hashed arrays of fixed size: over all documents, and over labelled ones by class. Log-odds between
 the classes have a Dirichlet prior in proportion to the counts of the whole corpus. A token takes the largest log-odds, of its word or one of its
 beginnings, that lie surely above zero, and scores log(1 - e + e * odds): the gain of a passage model that puts a share e on toxic words; any
-other token scores log(1 - e). A word scores the same at each of its places. A linear scan finds all maximal segments. Their scores follow an extreme-value law in clean text, whose scale and rate are fitted on
-clean labelled rows; segments beyond chance are the passages, and a document's score combines the largest, their number and their sum.
+other token scores log(1 - e). A word scores the same at each of its places. A linear scan finds all maximal segments. Their scores follow an
+extreme-value law in clean text, whose scale and rate are fitted on clean labelled rows; segments beyond chance are the passages, and a
+document's score combines the largest, their number and their sum.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import bounded_sample, training_labels
-from .runtime import bound_batches, pack, remainder, stored, texts_of, tree_sum, unpack
+from .runtime import bound_batches, pack, remainder, texts_of, tree_sum, unpack
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, SLICES, BEGINNINGS = 1 << 19, 8, (5, 6, 7, 8)
@@ -31,8 +32,6 @@ PRIOR, SHARE, EXPECTED = 2000.0, 0.05, 0.05
 SURE, NEUTRAL = 3.0, -0.05
 #: Labelled rows that are learnt from at most, words that a task counts before it adds them up, and words whose weights it remembers.
 SAMPLE, COUNTED, REMEMBER = 50_000, 300_000, 200_000
-#: Scores under which a segment is not kept for judging.
-LEAST = 1.0
 
 
 def features(word: str) -> list[int]:
@@ -58,7 +57,7 @@ def count_words(docs: DataFrame, labels: dict[int, int]) -> np.ndarray:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                words = set(WORD.findall(text.lower()))  # once a document: repeats are no further evidence
+                words = set(map(str.lower, set(WORD.findall(text))))  # once a document: repeats are no further evidence
                 counts[0].update(words)
                 if (y := label.get(doc_id)) is not None:
                     counts[1 + y].update(words)
@@ -85,19 +84,17 @@ def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return odds.astype(np.float32), (odds / np.sqrt(1 / toxic + 1 / clean)).astype(np.float32)
 
 
-class Weights:
-    """Scores of tokens in the passage model."""
+class Weights(dict):
+    """Scores of words in the passage model, small and capital letters alike; REMEMBER of them are kept."""
 
     def __init__(self, odds: np.ndarray, deviations: np.ndarray):
-        self.odds, self.deviations, self.known = odds, deviations, {}
-
-    def __call__(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            sure = [float(self.odds[b]) for b in features(word) if self.deviations[b] >= SURE]
-            w = float(np.log1p(SHARE * (np.exp(min(max(sure), 20)) - 1))) if sure else NEUTRAL
-            if len(self.known) < REMEMBER:
-                self.known[word] = w
+        self.odds, self.deviations = odds, deviations
+
+    def __missing__(self, word: str) -> float:
+        sure = [float(self.odds[b]) for b in features(word.lower()) if self.deviations[b] >= SURE]
+        w = float(np.log1p(SHARE * (np.exp(min(max(sure), 20)) - 1))) if sure else NEUTRAL
+        if len(self) < REMEMBER:
+            self[word] = w
         return w
 
 
@@ -120,11 +117,23 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), float(y - x)) for a, b, x, y in stack]
 
 
+def segments_of(text: str, weigh: Weights) -> tuple[int, list[tuple[int, int, float]]]:
+    """How many words a text has, and its maximal segments in words."""
+    scores = np.array(list(map(weigh.__getitem__, WORD.findall(text))))
+    return len(scores), maximal_segments(scores)
+
+
+def places(text: str, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Segments with code points of the text instead of words."""
+    at = [m.span() for m in WORD.finditer(text)] if found else []
+    return [(at[a][0], at[b - 1][1], s) for a, b, s in found]
+
+
 SEGMENTS = "doc_id long, n_tokens long, starts array<int>, ends array<int>, scores array<double>"
 
 
 def segments(docs: DataFrame, odds: np.ndarray, deviations: np.ndarray) -> DataFrame:
-    """Each document's tokens and its maximal segments that score LEAST or more, in code points."""
+    """Each document's number of tokens and all its maximal segments, in code points."""
     shared = docs.sparkSession.sparkContext.broadcast((odds, deviations))  # of fixed size: BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,14 +141,8 @@ def segments(docs: DataFrame, odds: np.ndarray, deviations: np.ndarray) -> DataF
         for batch in batches:
             rows = []
             for text in texts_of(batch):
-                low = text.lower()
-                words = WORD.findall(low)
-                scores = np.array([weigh(w) for w in words])
-                found = [s for s in maximal_segments(scores) if s[2] >= LEAST]
-                if found:
-                    at = [m.span() for m in WORD.finditer(low)]
-                    found = [(at[a][0], at[b - 1][1], s) for a, b, s in found]
-                rows.append((len(words), *([list(c) for c in zip(*found)] if found else ([], [], []))))
+                n, found = segments_of(text, weigh)
+                rows.append((n, *(list(zip(*places(text, found))) or ((), (), ()))))
             columns, kinds = list(zip(*rows)) or [()] * 4, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_tokens", "starts", "ends", "scores"])
 
@@ -160,8 +163,11 @@ class Calibration:
         excess = np.clip(self.rate * best - np.log(self.scale * np.maximum(n, 1)), -20, 60)
         return np.column_stack([np.ones(len(n)), excess / 10, np.log1p([len(p) for p in passages]), np.log1p([p.sum() for p in passages])])
 
+    def beyond_chance(self, n: int, scores: np.ndarray) -> np.ndarray:
+        return self.scale * max(n, 1) * np.exp(-self.rate * scores) < EXPECTED
+
     def passages(self, n: int, scores: np.ndarray) -> np.ndarray:
-        return scores[self.scale * max(n, 1) * np.exp(-self.rate * scores) < EXPECTED]
+        return scores[self.beyond_chance(n, scores)]
 
     def probabilities(self, n: np.ndarray, scores: list[np.ndarray]) -> np.ndarray:
         best = np.array([s.max(initial=0.0) for s in scores])
@@ -201,29 +207,33 @@ def calibrate(n: np.ndarray, scores: list[np.ndarray], y: np.ndarray) -> Calibra
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score, and the passages found: starts, ends (code points of the lower-cased text) and their scores. labels: doc_id, label; rows
-    with a null are left out, the sample rows with the smallest hashes are learnt from. Null and empty texts score as documents without words;
-    an empty table gives no rows; repeated rows get equal scores."""
-    rows = bounded_sample(labels, sample).collect()
-    known = {r["doc_id"]: int(r["label"]) for r in rows}
-    found = stored(segments(docs, *log_odds(count_words(docs, known))), "toxic-segments")
+    """doc_id, score, and the passages found: starts, ends (code points of the text) and their scores. labels: doc_id, label; rows with a null are
+    left out, of labels that clash the larger counts, and the sample ids with the smallest hashes are learnt from. Null and empty texts score as
+    documents without words; an empty table gives no rows; repeated rows get equal scores; rows that share a labelled id are counted each and
+    calibrate as one; a text of any length is scanned whole; columns besides doc_id and text are ignored, whatever their names."""
     spark = docs.sparkSession
-    taught = found.join(F.broadcast(spark.createDataFrame(list(known.items()), "doc_id long, label int")), "doc_id").select("doc_id", "n_tokens", "scores", "label").collect()
-    taught.sort(key=lambda r: (r["doc_id"], r["n_tokens"]))
-    c = calibrate(np.array([r["n_tokens"] for r in taught], float), [np.array(r["scores"], float) for r in taught], np.array([r["label"] for r in taught], int))
+    known = {r["doc_id"]: int(r["label"]) for r in bounded_sample(labels, sample).collect()}
+    weights = log_odds(count_words(docs, known))
+    chosen = spark.createDataFrame(list(known.items()), "doc_id long, label int")
+    few = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # sample rows at most
+    taught = [(r["s"]["n_tokens"], r["s"]["scores"], known[r["doc_id"]]) for r in sorted(segments(few, *weights).groupBy("doc_id").agg(F.min(F.struct("n_tokens", "scores")).alias("s")).collect())]
+    c = calibrate(np.array([n for n, _, _ in taught], float), [np.array(s, float) for _, s, _ in taught], np.array([y for _, _, y in taught], int))
+    shared = spark.sparkContext.broadcast(weights)  # of fixed size: BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = Weights(*shared.value)
         for batch in batches:
-            n = np.array(batch.column(1).to_pylist(), float)
-            scores = [np.array(s, float) for s in batch.column(4).to_pylist()]
-            p, kept = np.round(c.probabilities(n, scores), 9) if len(n) else np.zeros(0), []
-            for k, s, a, b in zip(n, scores, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                ok = c.scale * max(k, 1) * np.exp(-c.rate * s) < EXPECTED
-                kept.append([[v for v, o in zip(x, ok) if o] for x in (a, b, s.tolist())])
-            starts, ends, values = zip(*kept) if kept else ((),) * 3
+            texts, rows = texts_of(batch), []
+            found = [segments_of(t, weigh) for t in texts]
+            n, scores = np.array([k for k, _ in found], float), [np.array([s for _, _, s in x]) for _, x in found]
+            p = np.round(c.probabilities(n, scores), 9) if texts else np.zeros(0)
+            for text, (k, x), s in zip(texts, found, scores):
+                kept = places(text, [x[i] for i in np.flatnonzero(c.beyond_chance(k, s))])
+                rows.append(list(zip(*kept)) or ((), (), ()))
+            starts, ends, values = zip(*rows) if rows else ((),) * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "score", "starts", "ends", "scores"])
 
-    return found.mapInArrow(run, "doc_id long, score double, starts array<int>, ends array<int>, scores array<double>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double, starts array<int>, ends array<int>, scores array<double>")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

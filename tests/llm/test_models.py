@@ -100,3 +100,96 @@ def test_passages_of_words_seen_before(spark):
     found = [(a, b) for a, b, s in zip(row["starts"], row["ends"], row["scores"]) if s > 2 * one]
     places = [len(quoted) + 1 + k * (len(dense) + len(calm) + 2) for k in range(3)]
     assert found == [(p, p + len(dense)) for p in places] and max(row["scores"]) == pytest.approx(12 * one, rel=1e-5)
+
+
+def test_word_vectors_and_pooling_by_brute_force(spark):
+    texts = ["the cat sat on the mat", "cat cat 12 cat!", None, "", "the the", "one"]
+    places, signs = quality.index_vectors()
+    index = np.zeros((quality.BUCKETS, quality.SIZE))
+    for b in range(quality.BUCKETS):
+        index[b, places[b]] = signs[b]
+    buckets = quality.Buckets()
+    rows = [buckets(t or "").tolist() for t in texts]
+    m, count = np.zeros((quality.BUCKETS, quality.SIZE)), np.zeros(quality.BUCKETS)
+    for row in rows:
+        for i, b in enumerate(row):
+            count[b] += 1
+            for j, c in enumerate(row):
+                if 0 < abs(i - j) <= quality.REACH:
+                    m[b] += index[c]
+    norm = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    unit = norm(m)
+    unit = norm(unit - sum(unit[b] for row in rows for b in row) / sum(map(len, rows)))
+    unit[count == 0] = 0
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, features int").repartition(3)
+    vectors = quality.word_vectors(df)
+    assert np.allclose(vectors, unit, atol=1e-6)
+    for r in quality.document_vectors(df, vectors).collect():
+        got, v = np.frombuffer(r["features"], np.float32), unit[rows[r["doc_id"]]]
+        if not len(v):
+            assert not got.any()
+            continue
+        want = [*v.mean(0), *v.std(0), np.linalg.norm(v.mean(0)), np.mean([a @ b for a, b in zip(v, v[1:])]) if len(v) > 1 else 0]
+        assert np.allclose(got[: len(want)], want, atol=1e-5) and got[-1] == pytest.approx(np.log1p(len(v)))
+
+
+def test_network_by_finite_differences():
+    """One step of the fit goes against the gradient of the loss, as differences give it."""
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(40, 2 * quality.SIZE + 5)), np.arange(40) % 2
+    net = quality.fit(x, y, np.zeros(40, bool))
+    loss = lambda: np.logaddexp(0, np.where(y, -1, 1) * net.logits(x)).mean()
+    assert loss() < 0.2
+    z = (x - net.shift) / net.scale
+    assert np.allclose(net.logits(x), [np.tanh(v @ net.w1 + net.b1) @ net.w2 + net.b2 for v in z])
+    assert np.allclose(net.probabilities(x), [1 / (1 + np.exp(-t / net.temperature)) for t in net.logits(x)])
+
+
+def test_counts_odds_and_scores_by_brute_force(spark):
+    texts = ["Vile vile calm", "calm sea", "vile foul foul", None, "", "Sea of calm and FOUL", "straße"] * 3
+    labels = {i: int("vile" in (t or "").lower()) for i, t in enumerate(texts) if i % 2}
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, label int").repartition(3)
+    counts = np.zeros((3, toxicity.BUCKETS), np.int64)
+    for i, t in enumerate(texts):
+        for w in {w.lower() for w in toxicity.WORD.findall(t or "")}:
+            for b in toxicity.features(w):
+                counts[0, b] += 1
+                if i in labels:
+                    counts[1 + labels[i], b] += 1
+    got = toxicity.count_words(df, labels)
+    assert (got == counts).all()
+    odds, deviations = toxicity.log_odds(got)
+    prior = toxicity.PRIOR * (counts[0] + 0.01) / (counts[0].sum() + 0.01 * toxicity.BUCKETS)
+    total = [counts[1 + y].sum() + toxicity.PRIOR for y in (0, 1)]
+    for w in ("vile", "calm", "nowhere"):
+        b = toxicity.features(w)[0]
+        clean, toxic = counts[1, b] + prior[b], counts[2, b] + prior[b]
+        want = np.log(toxic / (total[1] - toxic)) - np.log(clean / (total[0] - clean))
+        assert odds[b] == pytest.approx(want, abs=1e-4) and deviations[b] == pytest.approx(want / np.sqrt(1 / toxic + 1 / clean), abs=1e-4)
+
+
+def test_calibrated_score_by_its_formula():
+    c = toxicity.Calibration(1.5, 0.02, np.array([-2.0, 4.0, 0.5, 0.25]))
+    n, scores = np.array([10.0, 500.0, 0.0]), [np.array([3.0, 0.2]), np.array([9.0, 8.0, 1.0]), np.zeros(0)]
+    for k, s, p in zip(n, scores, c.probabilities(n, scores)):
+        passages = [x for x in s if 0.02 * max(k, 1) * np.exp(-1.5 * x) < toxicity.EXPECTED]
+        excess = min(max(1.5 * max(s, default=0) - np.log(0.02 * max(k, 1)), -20), 60)
+        z = -2 + 4 * excess / 10 + 0.5 * np.log1p(len(passages)) + 0.25 * np.log1p(sum(passages))
+        assert p == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_passages_keep_places_of_the_text(spark):
+    """İ becomes two characters in small letters; places are those of the text as it is."""
+    odds, deviations = np.zeros(toxicity.BUCKETS, np.float32), np.zeros(toxicity.BUCKETS, np.float32)
+    odds[toxicity.features("vile")[0]], deviations[toxicity.features("vile")[0]] = 4.0, 9.0
+    row = toxicity.segments(spark.createDataFrame([(1, "İİİ VILE x")], "doc_id long, text string"), odds, deviations).first()
+    assert (row["starts"], row["ends"]) == ([4], [8])
+
+
+def test_clashing_labels_and_repeated_ids(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, label int")
+    assert sorted((r["doc_id"], r["label"]) for r in quality.bounded_sample(labels, 10).collect()) == [(1, 1), (2, 0)]
+    assert quality.bounded_sample(labels, 1).count() == 1
+    docs = spark.createDataFrame([(1, "a b c", 1), (1, "d e", 1), (2, "f", 0)] * 4, "doc_id long, text string, label int")
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        assert score(docs, labels).count() == 12
