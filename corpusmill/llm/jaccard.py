@@ -328,13 +328,17 @@ def _open(lists: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """docs without those that have a smaller doc_id in their component; of rows that share a doc_id the one with the smallest text stays. Rows
     with a null doc_id all stay. Only rows with an id that goes, or that is repeated, are shuffled with their texts."""
-    where = stored(similar_documents(docs), "components")
+    own = [f"_column_{i}" for i in range(len(docs.columns))]  # so that no name of docs meets one used here
+    at = dict(zip(docs.columns, own))
+    where = stored(similar_documents(docs.select("doc_id", "text")), "components")
     gone = where.filter("component_id < doc_id").select("doc_id").distinct()
     repeated = where.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    rows = marked(docs, F.col("doc_id").cast("long"), gone.union(repeated))
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = rows.filter("_marked and doc_id is not null").join(gone, "doc_id", "left_anti").withColumn("_row", F.row_number().over(order)).filter("_row = 1")
-    return rows.filter("not _marked or doc_id is null").select(*docs.columns).unionByName(kept.select(*docs.columns))
+    rows = marked(docs.toDF(*own), F.col(at["doc_id"]).cast("long"), gone.union(repeated))
+    order = Window.partitionBy(at["doc_id"]).orderBy(at["text"])
+    kept = rows.filter(F.col("_marked") & F.col(at["doc_id"]).isNotNull()).join(gone, F.col(at["doc_id"]) == F.col("doc_id"), "left_anti")
+    kept = kept.withColumn("_row", F.row_number().over(order)).filter("_row = 1")
+    rest = rows.filter(~F.col("_marked") | F.col(at["doc_id"]).isNull())
+    return rest.select(*own).unionByName(kept.select(*own)).toDF(*docs.columns)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

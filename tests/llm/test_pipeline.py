@@ -45,3 +45,37 @@ def test_queries_are_registered():
     from corpusmill.llm.queries import ORACLE_SQL, QUERIES
 
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_stages_on_empty_and_awkward_tables(spark, awkward):
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in enumerate(awkward)] + [(None, "null id", "en", "s", 7)] * 2, schema)
+    odd = odd.selectExpr("*", "1 key", "2 marks", "3 kept", "4 node", "5 score", "6 _row", "7 _marked", "8 part", "9 start")
+    for docs in (empty, odd):
+        for name, stage in pipeline.STAGES:
+            before = docs.count()
+            out = pipeline.stored(stage(spark, docs, SF), "test-stage")
+            after = out.count()
+            if name == "packing":
+                assert after >= before
+            else:
+                assert out.columns == docs.columns and (after == before if name in ("substring dedup", "secret scans") else after <= before)
+                docs = out if after else docs  # a stage that rejects all rows leaves the next one its own input
+
+
+def test_two_pipelines_in_one_driver(spark):
+    """Each thread deletes only what its own pipeline left."""
+    import threading
+
+    got: dict[int, int] = {}
+
+    def go(i):
+        got[i] = pipeline.run(spark, SF).count()
+
+    threads = [threading.Thread(target=go, args=(i,)) for i in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(got) == 2 and got[0] == got[1] > 0
