@@ -11,10 +11,11 @@ document's score combines the largest, their number and their sum.
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +23,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import bounded_sample, training_labels
-from .runtime import bound_batches, pack, remainder, texts_of, tree_sum, unpack
+from .runtime import bound_batches, pack, remainder, stored, texts_of, tree_sum, unpack
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters; the second pattern gives the same for texts of ASCII alone, in less time.
+WORD, ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile(r"[A-Za-z]+")
 BUCKETS, SLICES, BEGINNINGS = 1 << 19, 8, (5, 6, 7, 8)
 #: Strength of the prior in tokens, share of toxic words in a passage, and the expected count of chance passages below which one is kept.
 PRIOR, SHARE, EXPECTED = 2000.0, 0.05, 0.05
 #: Deviations from which log-odds count, and what any other token scores.
 SURE, NEUTRAL = 3.0, -0.05
 #: Labelled rows that are learnt from at most, words that a task counts before it adds them up, and words whose weights it remembers.
-SAMPLE, COUNTED, REMEMBER = 50_000, 300_000, 200_000
+SAMPLE, COUNTED, REMEMBER = 50_000, 300_000, 300_000
+
+
+def words_in(text: str) -> list[str]:
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
 
 
 def features(word: str) -> list[int]:
     """Buckets of a word and of its beginnings."""
-    return [zlib.crc32(f"{word}$".encode()) % BUCKETS, *(zlib.crc32(word[:n].encode()) % BUCKETS for n in BEGINNINGS if len(word) >= n)]
+    beginnings = [word[:n] for n in BEGINNINGS[: bisect_right(BEGINNINGS, len(word))]]
+    return [crc32(x.encode()) % BUCKETS for x in (word + "$", *beginnings)]
 
 
 def count_words(docs: DataFrame, labels: dict[int, int]) -> np.ndarray:
@@ -57,7 +64,7 @@ def count_words(docs: DataFrame, labels: dict[int, int]) -> np.ndarray:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                words = set(map(str.lower, set(WORD.findall(text))))  # once a document: repeats are no further evidence
+                words = set(map(str.lower, set(words_in(text))))  # once a document: repeats are no further evidence
                 counts[0].update(words)
                 if (y := label.get(doc_id)) is not None:
                     counts[1 + y].update(words)
@@ -88,10 +95,10 @@ class Weights(dict):
     """Scores of words in the passage model, small and capital letters alike; REMEMBER of them are kept."""
 
     def __init__(self, odds: np.ndarray, deviations: np.ndarray):
-        self.odds, self.deviations = odds, deviations
+        self.odds, self.sure = odds, (deviations >= SURE).tobytes()
 
     def __missing__(self, word: str) -> float:
-        sure = [float(self.odds[b]) for b in features(word.lower()) if self.deviations[b] >= SURE]
+        sure = [float(self.odds[b]) for b in features(word.lower()) if self.sure[b]]
         w = float(np.log1p(SHARE * (np.exp(min(max(sure), 20)) - 1))) if sure else NEUTRAL
         if len(self) < REMEMBER:
             self[word] = w
@@ -119,7 +126,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def segments_of(text: str, weigh: Weights) -> tuple[int, list[tuple[int, int, float]]]:
     """How many words a text has, and its maximal segments in words."""
-    scores = np.array(list(map(weigh.__getitem__, WORD.findall(text))))
+    scores = np.array(list(map(weigh.__getitem__, words_in(text))))
     return len(scores), maximal_segments(scores)
 
 
@@ -158,10 +165,10 @@ class Calibration:
     scale: float
     weights: np.ndarray
 
-    def inputs(self, n: np.ndarray, best: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
-        """1; how far the largest lies beyond chance; log of how many do; log of their sum."""
+    def inputs(self, n: np.ndarray, best: np.ndarray, passages: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """1; how far the largest lies beyond chance; log of the number of passages; log of their sum."""
         excess = np.clip(self.rate * best - np.log(self.scale * np.maximum(n, 1)), -20, 60)
-        return np.column_stack([np.ones(len(n)), excess / 10, np.log1p([len(p) for p in passages]), np.log1p([p.sum() for p in passages])])
+        return np.column_stack([np.ones(len(n)), excess / 10, np.log1p(passages), np.log1p(total)])
 
     def beyond_chance(self, n: int, scores: np.ndarray) -> np.ndarray:
         return self.scale * max(n, 1) * np.exp(-self.rate * scores) < EXPECTED
@@ -171,7 +178,8 @@ class Calibration:
 
     def probabilities(self, n: np.ndarray, scores: list[np.ndarray]) -> np.ndarray:
         best = np.array([s.max(initial=0.0) for s in scores])
-        x = self.inputs(n, best, [self.passages(int(k), s) for k, s in zip(n, scores)])
+        kept = [self.passages(int(k), s) for k, s in zip(n, scores)]
+        x = self.inputs(n, best, np.array([len(s) for s in kept], float), np.array([s.sum() for s in kept]))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -50, 50)))
 
 
@@ -190,19 +198,30 @@ def fit_extremes(n: np.ndarray, best: np.ndarray) -> tuple[float, float]:
     return float(rate), float(fit(rate)[1])
 
 
-def calibrate(n: np.ndarray, scores: list[np.ndarray], y: np.ndarray) -> Calibration:
-    best = np.array([s.max(initial=0.0) for s in scores])
-    c = Calibration(*fit_extremes(n[y == 0], best[y == 0]), np.array([-3.0, 5.0, 0.5, 0.5]))
-    if len(set(y.tolist())) < 2:
-        return c
-    x, w = c.inputs(n, best, [c.passages(int(k), s) for k, s in zip(n, scores)]), np.zeros(4)
-    for _ in range(60):  # Newton steps with a small ridge
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by Newton's method with a small ridge."""
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4), x.T @ (y - p) - 0.1 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    c.weights = w
+    return w
+
+
+def calibrate(found: DataFrame, labels: dict[int, int]) -> Calibration:
+    """From found(doc_id, n_tokens, scores), one row for each labelled id that is there. Three numbers of a row are collected, and once the law of
+    the largest scores is known two more, so what the driver gets has a bound that doesn't depend on the texts."""
+    largest = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    rows = sorted(tuple(r) for r in found.select("doc_id", "n_tokens", largest).collect())
+    y, n, best = np.array([labels[d] for d, _, _ in rows], int), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    c = Calibration(*fit_extremes(n[y == 0], best[y == 0]), np.array([-3.0, 5.0, 0.5, 0.5]))
+    if len(set(y.tolist())) < 2:
+        return c
+    beyond = F.filter("scores", lambda s: F.lit(c.scale) * F.greatest("n_tokens", F.lit(1)) * F.exp(F.lit(-c.rate) * s) < EXPECTED)
+    sums = {r[0]: (r[1], r[2]) for r in found.select("doc_id", F.size(beyond), F.aggregate(beyond, F.lit(0.0), lambda a, s: a + s)).collect()}
+    c.weights = fit_logistic(c.inputs(n, best, *np.array([sums[d] for d, _, _ in rows], float).T), y)
     return c
 
 
@@ -216,8 +235,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     weights = log_odds(count_words(docs, known))
     chosen = spark.createDataFrame(list(known.items()), "doc_id long, label int")
     few = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # sample rows at most
-    taught = [(r["s"]["n_tokens"], r["s"]["scores"], known[r["doc_id"]]) for r in sorted(segments(few, *weights).groupBy("doc_id").agg(F.min(F.struct("n_tokens", "scores")).alias("s")).collect())]
-    c = calibrate(np.array([n for n, _, _ in taught], float), [np.array(s, float) for _, s, _ in taught], np.array([y for _, _, y in taught], int))
+    found = segments(few, *weights).groupBy("doc_id").agg(F.min(F.struct("n_tokens", "scores")).alias("s")).select("doc_id", "s.*")
+    c = calibrate(stored(found, "taught"), known)
     shared = spark.sparkContext.broadcast(weights)  # of fixed size: BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
