@@ -42,7 +42,7 @@ def write_pdfs(folder: str) -> list[str]:
 def preflight(folders: list[str], agents: list[dict], ready: dict[str, bool]) -> list[tuple[str, str, bool]]:
     """(check, subject, ok): optional packages, folders, and each pair of backend and model that agents ask for, once. ready says which models a
     backend has; a name without a tag also means its latest."""
-    rows = [("package", n, importlib.util.find_spec(n) is not None) for n in EXTRACTORS if n != "operators"]
+    rows = [("package", n, importlib.util.find_spec(n) is not None) for n in EXTRACTORS if n not in ("own", "pdftotext")]
     rows += [("folder", f, Path(f).is_dir()) for f in folders]
     pairs = dict.fromkeys((a.get("backend", "mock"), a.get("model", "")) for a in agents)
     rows += [("model", f"{b}:{m}", b == "mock" or ready.get(m, ready.get(f"{m}:latest", False))) for b, m in pairs]

@@ -137,3 +137,49 @@ def test_http_errors_are_data(spark, style):
     prompts = spark.createDataFrame([("p", 1, "x")], "prompt_id string, attempt int, prompt string")
     row = models.http("http://127.0.0.1:9/api", "m", style, timeout=1)(prompts).first()
     assert row["reply"] is None and row["status"].startswith("error")
+
+
+def test_pdf_with_tables_and_figures(spark):
+    from corpusmill.sources.pdf_writer import Figure, Line, Table, markdown_pdf, write_pdf
+
+    table = Table([["Country", "Share (%)"], ["Austria", "12,5"], ["Côte (d'Ivoire)", "7"]])
+    data = write_pdf([[Line("Report", 18, True), "Some prose on Austria.", table, "Austria  12,5", Figure("Figure 1: a curve")], ["Second page.", Figure()]])
+    assert pdf.extract(data, "b")[0][1] == "Second page." and len(pdf.extract(data)[0]) == 2
+    rows = spark.createDataFrame([("my_report.pdf", data), ("bad.pdf", b"nothing")], "doc string, content binary")
+    got = {r["doc"]: r for r in pdf.read_layout(rows).select("doc", "error", pdf.index_text(F.col("pages")).alias("i"), pdf.layout_markdown(F.col("doc"), F.col("pages")).alias("m")).collect()}
+    assert got["bad.pdf"]["error"] and got["my_report.pdf"]["error"] is None
+    assert got["my_report.pdf"]["m"] == """# my report
+
+*Converted from `my_report.pdf`. Figures are noted, not OCR'd.*
+
+## Page 1
+
+Report
+Some prose on Austria.
+Figure 1: a curve
+
+| Country | Share (%) |
+|---|---|
+| Austria | 12,5 |
+| Côte (d'Ivoire) | 7 |
+
+> **[Image 1 on page 1]** — Figure 1: a curve _(image content not extracted; no OCR was performed)_
+
+## Page 2
+
+Second page.
+
+> **[Image 1 on page 2]** — no caption found in the page text _(image content not extracted; no OCR was performed)_
+"""
+    assert got["my_report.pdf"]["i"].split("\n")[0] == "## Page 1" and "Austria | 12,5" in got["my_report.pdf"]["i"].split("\n")
+    long_ = pdf.extract(write_pdf([[f"line {i}" for i in range(200)]]))[0]
+    assert len(long_) > 1 and "\n".join(long_).split("\n") == [f"line {i}" for i in range(200)]
+    shown = "\n".join(pdf.extract(markdown_pdf("# Head\n\nSome **bold** text.\n\n| a | b |\n|---|---|\n- one"))[0])
+    assert shown == "Head\nSome bold text.\n• one"
+
+
+def test_foreign_pdf_commands():
+    body = rb"BT /F1 10 Tf 14 TL 50 700 Td (A \(b\) \101) Tj T* [(C) -300 (d)] TJ (e) ' ET 10 10 20 20 re S"
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1/Resources<<>>>>", b"<</Type/Page/Parent 2 0 R/Contents[4 0 R]>>", b"<</Length %d>>stream\r\n%b\nendstream" % (len(body), body)]
+    data = b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%b\nendobj" % (i, o) for i, o in enumerate(objects, 1))
+    assert pdf.extract(data)[0] == ["A (b) A\nC d\ne"] and pdf.extract(b"%PDF-1.4\n")[0] == []
