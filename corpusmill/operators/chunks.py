@@ -119,19 +119,34 @@ def boundary_windows(docs: DataFrame, key: str, text: str, size: int = 12000, ov
     return _folded(docs, key, text, _seek_boundaries, size, overlap)
 
 
-def even_sample(chunks: DataFrame, key: str, number: str, most: int, profile: str = "head") -> DataFrame:
-    """At most most chunks of each key, evenly spread. head keeps the first two and takes the rest at rounded-down steps; ends keeps the first
-    and the last, with steps rounded half to even. number counts from 0 without gaps."""
-    n = F.count("*").over(Window.partitionBy(key)).cast("int")
-    rows = chunks.withColumn("_n", n)
+def sampled_places(n: Column, most: int, profile: str = "head") -> Column:
+    """Which of n chunks (numbers from 0) are kept, as an array, where there are more than most. head keeps the first two and takes the rest at
+    rounded-down steps; ends keeps the first and the last, with steps rounded half to even."""
     if profile == "head":
-        if most <= 0:
-            return chunks
         slots = most - 2
-        picked = F.transform(F.sequence(F.lit(0), F.lit(max(slots, 1) - 1)), lambda i: (F.floor(i * ((F.col("_n") - 2) / float(max(slots, 1)))) + 2).cast("int"))
-        keep = (F.col(number) < min(2, max(most, 2))) | (F.array_contains(picked, F.col(number).cast("int")) if slots > 0 else F.lit(False))
-    else:
-        most = max(2, most)
-        picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * ((F.col("_n") - 1) / float(most - 1))).cast("int"))
-        keep = F.array_contains(picked, F.col(number).cast("int"))
-    return rows.filter((F.col("_n") <= most) | keep).drop("_n")
+        first = F.array(*[F.lit(i) for i in range(min(2, max(most, 2)))])
+        if slots <= 0:
+            return first
+        return F.concat(first, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: (F.floor(i * ((n - 2) / float(slots))) + 2).cast("int")))
+    most = max(2, most)
+    return F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * ((n - 1) / float(most - 1))).cast("int"))
+
+
+def even_sample(chunks: DataFrame, key: str, number: str, most: int, profile: str = "head") -> DataFrame:
+    """At most most chunks of each key, evenly spread (see sampled_places). number counts from 0 without gaps."""
+    if profile == "head" and most <= 0:
+        return chunks
+    n, limit = F.count("*").over(Window.partitionBy(key)).cast("int"), most if profile == "head" else max(2, most)
+    rows = chunks.withColumn("_n", n)
+    return rows.filter((F.col("_n") <= limit) | F.array_contains(sampled_places(F.col("_n"), most, profile), F.col(number).cast("int"))).drop("_n")
+
+
+def sampled_windows(docs: DataFrame, key: str, text: str, most: int, profile: str = "head", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """word_windows() of which even_sample() keeps most at most. A document's windows are counted where they are cut, so nothing is shuffled."""
+    rows = docs.select(F.col(key), words(F.col(text)).alias("_w"), strip(F.col(text)).alias("_t"))
+    rows = rows.select(key, window_array(F.col("_w"), F.col("_t"), size, overlap).alias("_a"))
+    n, limit = F.size("_a"), most if profile == "head" else max(2, most)
+    every = F.transform(F.col("_a"), lambda w, i: F.struct(i.alias("window_no"), w.alias("window")))
+    some = F.filter(every, lambda s: F.array_contains(sampled_places(n, most, profile), s["window_no"]))
+    kept = every if profile == "head" and most <= 0 else F.when(n <= limit, every).otherwise(some)
+    return rows.select(key, F.inline(kept)).withColumn("words", word_count(F.col("window")))

@@ -7,10 +7,11 @@ appearance, so a value has the same token everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..storage import numbered, stored
 
 #: Labels and shapes in the order that they apply.
 RULES = (
@@ -31,17 +32,12 @@ def hits(x: Column, label: str) -> Column:
     return F.regexp_extract_all(x, F.lit(dict(RULES)[label]), 0)
 
 
-def _numbered(text: Column, found: Column, rule: int) -> Column:
-    """text with its finds replaced by place holders rule:position, in order."""
-    start = F.struct(text.alias("rest"), F.lit("").alias("done"), F.lit(0).alias("i"))
-
-    def step(s: Column, hit: Column) -> Column:
-        where = F.position(hit, s["rest"])
-        mark = F.concat(F.lit(f"{OPEN}{rule}:"), s["i"].cast("string"), F.lit(CLOSE))
-        done = F.concat(s["done"], F.substring(s["rest"], F.lit(1), where - 1), mark)
-        return F.struct(F.substring(s["rest"], where + F.length(hit), F.length(s["rest"])).alias("rest"), done.alias("done"), (s["i"] + 1).alias("i"))
-
-    return F.aggregate(found, start, step, lambda s: F.concat(s["done"], s["rest"]))
+def _numbered(text: Column, found: Column, rule: int, pattern: str) -> Column:
+    """text with its finds replaced by place holders rule:position, in order: what stands between them is split off once."""
+    mark = lambda i: F.concat(F.lit(f"{OPEN}{rule}:"), i.cast("string"), F.lit(CLOSE))
+    between = F.split(text, pattern, -1)
+    put = F.transform(between, lambda p, i: F.when(i < F.size(found), F.concat(p, mark(i))).otherwise(p))
+    return F.when(F.size(found) > 0, F.array_join(put, "")).otherwise(text)
 
 
 def _listed(rule: int, label: str) -> Column:
@@ -64,7 +60,7 @@ def find_identifiers(docs: DataFrame, names: list[str] | None = None) -> DataFra
         if "@" in pattern:  # most texts have no such sign, and looking for one is cheap
             found = F.when(F.contains("masked", F.lit("@")), found).otherwise(F.array().cast("array<string>"))
         out = out.withColumn("_found", found)
-        out = out.withColumn("finds", F.concat("finds", _listed(rule, label))).withColumn("masked", _numbered(F.col("masked"), F.col("_found"), rule)).drop("_found")
+        out = out.withColumn("finds", F.concat("finds", _listed(rule, label))).withColumn("masked", _numbered(F.col("masked"), F.col("_found"), rule, pattern)).drop("_found")
     return out
 
 
@@ -72,8 +68,8 @@ def pseudonyms(found: DataFrame) -> DataFrame:
     """label, value, token: a number for each value of a label, by first appearance over documents in order, then rules, then places."""
     rows = found.select("doc", F.explode("finds").alias("f")).select("doc", "f.*").withColumn("value", strip(F.col("original")))
     first = rows.groupBy("label", "value").agg(F.min(F.struct("doc", "rule", "pos")).alias("first"))
-    number = F.row_number().over(Window.partitionBy("label").orderBy("first"))
-    return first.select("label", "value", F.concat(F.lit("["), F.col("label"), F.lit("_"), number.cast("string"), F.lit("]")).alias("token"))
+    rows = numbered(first, [F.col("first")], "number", "label")
+    return rows.select("label", "value", F.concat(F.lit("["), F.col("label"), F.lit("_"), F.col("number").cast("string"), F.lit("]")).alias("token"))
 
 
 def replacements(found: DataFrame) -> DataFrame:
@@ -83,8 +79,8 @@ def replacements(found: DataFrame) -> DataFrame:
 
 
 def scrub(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """doc, scrubbed: each find replaced by its token."""
-    found = find_identifiers(docs, names)
+    """doc, scrubbed: each find replaced by its token. Finds are stored, for they number the values and are replaced by them."""
+    found = stored(find_identifiers(docs, names), "identifiers")
     tokens = replacements(found).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "rule", "pos"), F.col("token")))).alias("tokens"))
     parts = F.split("masked", f"[{OPEN}{CLOSE}]")  # text and place holders alternate
     rows = found.select("doc", "masked").join(tokens, "doc", "left")
@@ -94,7 +90,7 @@ def scrub(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def anonymisation_report(found: DataFrame) -> DataFrame:
     """doc, label, original, token without repeats in a document, with total, all replacements of the document."""
-    rows = replacements(found)
+    rows = replacements(stored(found.select("doc", "finds"), "finds"))
     total = rows.groupBy("doc").agg(F.count("*").alias("total"))
     return rows.dropDuplicates(["doc", "label", "original"]).select("doc", "label", "original", "token").join(total, "doc")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number
 from ..functions.text import squeeze, strip
+from ..storage import numbered
 
 ENTRIES = "array<struct<key:string,value:string>>"
 
@@ -62,7 +63,7 @@ def chart_groups(flat: DataFrame) -> DataFrame:
 def category_order(groups: DataFrame) -> DataFrame:
     """category, place: all categories by first appearance, documents in order of their names."""
     first = groups.groupBy("category").agg(F.min(F.struct("doc", "first_seen")).alias("first"))
-    return first.select("category", F.row_number().over(Window.orderBy("first")).alias("place"))
+    return numbered(first, [F.col("first")], "place").select("category", "place")
 
 
 def pivot_groups(groups: DataFrame, categories: list[str]) -> DataFrame:

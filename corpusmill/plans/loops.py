@@ -6,7 +6,6 @@ model is asked once per prompt and attempt even if tasks are run again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fill_template, slug
+from ..storage import new_folder
 from .models import Backend
 
 
@@ -21,16 +21,7 @@ class Ledger:
     """Tables of a loop's rounds: Parquet under the checkpoint folder, so that neither retries nor lost executors repeat a round."""
 
     def __init__(self, spark: SparkSession):
-        import atexit
-        import shutil
-        import tempfile
-
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            folder = tempfile.mkdtemp(prefix="corpusmill-loop-")
-            atexit.register(shutil.rmtree, folder, True)
-            root = f"file://{folder}"
-        self.spark, self.root = spark, f"{root.rstrip('/')}/loop-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, new_folder(spark, "loop")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

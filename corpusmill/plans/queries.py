@@ -211,8 +211,7 @@ def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, window_no FROM counted WHERE c <= 5 OR window_no < 2 OR list_contains(list_transform(range(0, 3), lambda i: CAST(floor(i * ((c - 2) / 3.0)) AS INTEGER) + 2), window_no)""",
 )
 def even_sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks.word_windows(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "window_no")
-    return chunks.even_sample(rows, "doc_id", "window_no", 5, "head")
+    return chunks.sampled_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 5, "head").select("doc_id", "window_no")
 
 
 @query(
@@ -221,8 +220,7 @@ def even_sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, window_no FROM counted WHERE c <= 4 OR list_contains(list_transform(range(0, 4), lambda i: CAST(round_even(i * ((c - 1) / 3.0), 0) AS INTEGER)), window_no)""",
 )
 def even_sample_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks.word_windows(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "window_no")
-    return chunks.even_sample(rows, "doc_id", "window_no", 4, "ends")
+    return chunks.sampled_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 4, "ends").select("doc_id", "window_no")
 
 
 EMAIL = "\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b"

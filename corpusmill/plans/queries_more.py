@@ -9,13 +9,14 @@ from ..catalogue import query
 from ..functions import numbers, payload, text
 from ..operators import chunks, evaluation, retrieval, tables, validation
 from ..session import table
+from ..storage import numbered
 from . import loops, models
 from .queries import count_sql
 
 #: Orders and their lines as documents with a heading, some text and a pipe table, for the parsers.
 MARKDOWN = """
 items AS (SELECT l_orderkey AS doc, l_linenumber, l_partkey % 7 AS part, CAST(l_quantity AS INTEGER) AS q, '| part ' || l_partkey % 7 || ' | ' || CAST(l_quantity AS INTEGER) || ' | ' ||
-    CASE WHEN l_linenumber % 3 = 0 THEN 'n/a' ELSE CAST(l_quantity AS INTEGER) * 2 || ',5' END || ' |' AS t FROM lineitem WHERE l_linenumber <= 5),
+    CASE WHEN l_linenumber % 3 = 0 THEN 'n/a' ELSE CAST(l_quantity AS INTEGER) * 2 || ',5' END || ' |' AS t FROM lineitem),
 lines AS (SELECT doc, string_agg(t, e'\\n' ORDER BY l_linenumber, t) AS body FROM items GROUP BY doc),
 md AS (SELECT doc, '# Order ' || doc || e'\\n\\nSome text.\\n\\n## Lines\\n\\n| Part | Count | Twice |\\n|---|---:|---|\\n' || body || e'\\n\\n## End\\nDone.' AS text FROM lines)"""
 #: Rows of those tables, straight from the lines.
@@ -31,7 +32,7 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity = F.col("l_quantity").cast("int")
     twice = F.when(F.col("l_linenumber") % 3 == 0, "n/a").otherwise(F.concat((quantity * 2).cast("string"), F.lit(",5")))
     line = F.concat(F.lit("| part "), (F.col("l_partkey") % 7).cast("string"), F.lit(" | "), quantity.cast("string"), F.lit(" | "), twice, F.lit(" |"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5").groupBy(F.col("l_orderkey").alias("doc"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda s: s["t"]), "\n")
     head = F.concat(F.lit("# Order "), F.col("doc").cast("string"), F.lit("\n\nSome text.\n\n## Lines\n\n| Part | Count | Twice |\n|---|---:|---|\n"))
     return rows.agg(body.alias("body")).select("doc", F.concat(head, "body", F.lit("\n\n## End\nDone.")).alias("text"))
@@ -375,8 +376,7 @@ def objectives_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("map_reduce_material")
 def map_reduce_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = chunks.word_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 400, 0)
-    sampled = chunks.even_sample(pieces, "doc_id", "window_no", 10, "head")
+    sampled = chunks.sampled_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 10, "head", 400, 0)
     rows = loops.map_reduce_summary(sampled, "doc_id", "window_no", "window", "Note what matters.\n<document>{{TEXT}}</document>", models.mock_summary)
     return rows.select("doc_id", F.md5(F.col("material").cast("binary")).alias("digest"))
 
@@ -413,7 +413,7 @@ def tokens_per_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("names_longest_first", "SELECT c_mktsegment AS name, row_number() OVER (ORDER BY len(c_mktsegment) DESC, c_mktsegment) AS place FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def names_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.length("name")), "name")).cast("long"))
+    return numbered(rows, [F.desc(F.length("name")), F.col("name")], "place")
 
 
 @query(
