@@ -108,19 +108,20 @@ def bad_json(files: DataFrame) -> DataFrame:
 
 
 #: Outcome of a lab: its id, exit code and data (JSON).
-def assess(runs: DataFrame) -> DataFrame:
+def assess(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """lab, as_expected of runs(lab, attempt, exit_code, data, model): by each lab's own rule over its finished runs; a lab that left no data
-    is not as expected."""
+    is not as expected. Columns by, if given, keep several sets of labs apart."""
+    of = [*(by or []), "lab"]
     done = runs.filter("data is not null")
-    last = done.groupBy("lab").agg(F.max_by("data", "attempt").alias("d"), F.max_by("model", "attempt").alias("model"))
-    crashed = done.groupBy("lab").agg(F.bool_or(F.col("exit_code") != 0).alias("crashed"))
+    last = done.groupBy(*of).agg(F.max_by("data", "attempt").alias("d"), F.max_by("model", "attempt").alias("model"))
+    crashed = done.groupBy(*of).agg(F.bool_or(F.col("exit_code") != 0).alias("crashed"))
     result = "array<struct<kind:string,variant:string,passed:boolean>>"
-    results = done.select("lab", F.explode(F.from_json(F.get_json_object("data", "$.results"), result)).alias("r"))
+    results = done.select(*of, F.explode(F.from_json(F.get_json_object("data", "$.results"), result)).alias("r"))
     variant = F.when(F.col("lab") == "1", F.col("r.kind")).otherwise(F.col("r.variant"))
-    tried = results.filter("lab in ('1', '2')").groupBy("lab", variant.alias("v")).agg((F.count_if("r.passed") / F.count("*")).alias("rate"))
+    tried = results.filter("lab in ('1', '2')").groupBy(*of, variant.alias("v")).agg((F.count_if("r.passed") / F.count("*")).alias("rate"))
     second = F.max(F.when(F.col("v").isin("specific", "with skill"), F.col("rate")))
     first = F.max(F.when(F.col("v").isin("vague", "without skill"), F.col("rate")))
-    rates = tried.groupBy("lab").agg(F.coalesce(second, F.lit(0.0)).alias("second"), F.coalesce(first, F.lit(0.0)).alias("first"))
+    rates = tried.groupBy(*of).agg(F.coalesce(second, F.lit(0.0)).alias("second"), F.coalesce(first, F.lit(0.0)).alias("first"))
     get = lambda k, t="string": F.get_json_object("d", f"$.{k}").cast(t)
     caught = F.exists(F.coalesce(F.from_json(F.get_json_object("d", "$.failures"), "array<string>"), F.array().cast("array<string>")), lambda f: f.startswith("[anonymisation]"))
     ok = (
@@ -136,8 +137,8 @@ def assess(runs: DataFrame) -> DataFrame:
         .when(F.col("lab") == "5", (get("agent_exit_code", "int") == 0) & (get("final_score", "double") > get("baseline_score", "double")))
         .otherwise(~F.col("crashed"))
     )
-    rows = runs.select("lab").distinct().join(last, "lab", "left").join(crashed, "lab", "left").join(rates, "lab", "left")
-    return rows.select("lab", F.coalesce(ok, F.lit(False)).alias("as_expected"))
+    rows = runs.select(*of).distinct().join(last, of, "left").join(crashed, of, "left").join(rates, of, "left")
+    return rows.select(*of, F.coalesce(ok, F.lit(False)).alias("as_expected"))
 
 
 def parse_iterations(logs: DataFrame) -> DataFrame:

@@ -24,6 +24,11 @@ STOPWORDS = (
 TOP_K, LEAST_SCORE, LEAST_COVERAGE = 4, 5.0, 0.55
 #: Digits to which scores are equal: sums of equal parts may differ in their last bits by the order in which partitions add them.
 DIGITS = 9
+#: What every grounded prompt begins with.
+PROMPT_RULES = (
+    "Use nothing but the numbered sources. Put the number of its source, like [S1], behind each statement. "
+    "Where the sources do not answer the question, reply INSUFFICIENT_EVIDENCE and nothing else.\n\n"
+)
 
 
 @dataclass
@@ -126,10 +131,7 @@ def sources_block(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 def grounded_prompt(question: Column, sources: Column, complaint: Column | None = None) -> Column:
     """Rules, sources and question; a complaint about the last answer is added where there is one."""
-    rules = F.lit(
-        "Use nothing but the numbered sources. Put the number of its source, like [S1], behind each statement. "
-        "Where the sources do not answer the question, reply INSUFFICIENT_EVIDENCE and nothing else.\n\n"
-    )
+    rules = F.lit(PROMPT_RULES)
     again = F.coalesce(F.concat(F.lit("\n\nThe last answer was turned down: "), complaint), F.lit("")) if complaint is not None else F.lit("")
     return F.concat(rules, sources, F.lit("\n\nQuestion: "), question, again)
 

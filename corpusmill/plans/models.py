@@ -13,7 +13,7 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, words
@@ -22,6 +22,11 @@ Backend = Callable[[DataFrame], DataFrame]
 REPLY = "prompt_id string, attempt int, reply string, status string, seconds double"
 
 
+def md5_number(x: Column, digits: int = 2) -> Column:
+    """The first hexadecimal digits of a text's MD5 as a number: a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(x.cast("binary")), 1, digits), 16, 10).cast("long")
+
+
 def _reply(prompts: DataFrame, reply) -> DataFrame:
     return prompts.select(F.col("prompt_id").cast("string"), F.col("attempt").cast("int"), reply.alias("reply"), F.lit("ok").alias("status"), F.lit(0.0).alias("seconds"))
 
@@ -41,7 +46,7 @@ def mock_answer(bad_every: int = 4) -> Backend:
     """Cites the first source; every bad_every-th prompt, by hash, cites nothing at its first attempt."""
 
     def backend(prompts: DataFrame) -> DataFrame:
-        bad = (F.pmod(F.xxhash64("prompt_id"), F.lit(bad_every)) == 0) & (F.col("attempt") == 1)
+        bad = (md5_number(F.col("prompt_id")) % bad_every == 0) & (F.col("attempt") == 1)
         return _reply(prompts, F.when(bad, "An answer without any source.").otherwise("The sources say so [S1]."))
 
     return backend
@@ -106,7 +111,7 @@ def fake_embedding(x, size: int = 64):
     """A hashed bag of words of unit length, the same in every run; zeros for a text without words."""
     from ..functions.text import tokens
 
-    places = F.transform(tokens(x), lambda t: F.pmod(F.xxhash64(t), F.lit(size)))
+    places = F.transform(tokens(x), lambda t: md5_number(t) % size)
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
     length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
     return F.transform(counts, lambda v: F.when(length == 0, F.lit(0.0)).otherwise(v / length))

@@ -9,19 +9,10 @@ from ..catalogue import query
 from ..functions import numbers, payload, text
 from ..operators import chunks, evaluation, privacy, retrieval, validation
 from ..session import table
+from . import sql_texts
 
 STOP_SQL = ", ".join(f"'{w}'" for w in retrieval.STOPWORDS)
-#: Words in SQL: split at white space after stripping it.
-WORDS = "string_split_regex(trim({x}, e' \\t\\n\\r\\x0b\\f'), '\\s+')"
-COUNT = "(CASE WHEN trim({x}, e' \\t\\n\\r\\x0b\\f') = '' THEN 0 ELSE len(" + WORDS + ") END)"
-
-
-def words_sql(x: str) -> str:
-    return WORDS.format(x=x)
-
-
-def count_sql(x: str) -> str:
-    return COUNT.format(x=x)
+words_sql, count_sql = sql_texts.words, sql_texts.word_count
 
 
 @query(
@@ -243,7 +234,7 @@ def pii_person_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(privacy.hits(F.col("text"), "PERSON")).alias("hit"))
 
 
-@query("pii_phone_hits")
+@query("pii_phone_hits", sql_texts.PHONE_HITS)
 def pii_phone_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(privacy.hits(F.col("text"), "PHONE")).alias("hit"))
 
@@ -263,12 +254,12 @@ def pseudonym_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("label = 'EMAIL'").select("value", "token")
 
 
-@query("scrubbed_documents")
+@query("scrubbed_documents", sql_texts.SCRUBBED)
 def scrubbed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.scrub(_numbered_docs(spark, sf_dir)).select(F.col("doc").alias("doc_id"), F.md5(F.col("scrubbed").cast("binary")).alias("digest"))
 
 
-@query("anonymisation_report")
+@query("anonymisation_report", sql_texts.REPORT)
 def anonymisation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.anonymisation_report(privacy.find_identifiers(_numbered_docs(spark, sf_dir)))
 
@@ -337,7 +328,7 @@ def truncate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.truncate_words(F.col("text"), 20).alias("short"))
 
 
-@query("sentence_trim")
+@query("sentence_trim", sql_texts.SENTENCES)
 def sentence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     trimmed = text.trim_to_limit(F.col("text"), 40)
     return table(spark, sf_dir, "documents").select("doc_id", trimmed["mode"].alias("mode"), F.md5(trimmed["text"].cast("binary")).alias("digest"))
@@ -369,11 +360,12 @@ def objective_reason_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.group_reasons(rows.filter("reason <> 'ok'"), "reason", "ord", "text")
 
 
-@query("summary_errors_profile_a")
+@query("summary_errors_profile_a", sql_texts.SUMMARY_A)
 def summary_errors_profile_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
     rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return rows.select("conv_id", "turn", validation.summary_errors_a(x).alias("errors"), validation.summary_warnings_a(x).alias("warnings"))
+    joined = lambda c: F.array_join(c, "; ")
+    return rows.select("conv_id", "turn", joined(validation.summary_errors_a(x)).alias("errors"), joined(validation.summary_warnings_a(x)).alias("warnings"))
 
 
 ENGLISH_SQL = ", ".join(f"'{w}'" for w in validation.ENGLISH)

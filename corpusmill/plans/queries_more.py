@@ -10,8 +10,8 @@ from ..functions import numbers, payload, text
 from ..operators import chunks, evaluation, retrieval, tables, validation
 from ..session import table
 from ..storage import numbered
-from . import loops, models
-from .queries import count_sql
+from . import loops, models, sql_texts
+from .queries import BM25, OBJECTIVE, REASON, count_sql
 
 #: Orders and their lines as documents with a heading, some text and a pipe table, for the parsers.
 MARKDOWN = """
@@ -88,13 +88,13 @@ def section_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "section", "title", F.md5(F.col("text").cast("binary")).alias("digest"), "words")
 
 
-@query("packed_paragraphs")
+@query("packed_paragraphs", sql_texts.PACKED)
 def packed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks.packed_paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text", 2000, 100)
     return rows.select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
-@query("boundary_windows")
+@query("boundary_windows", sql_texts.SOUGHT)
 def boundary_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks.boundary_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 4000, 100)
     return rows.select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("digest"))
@@ -345,7 +345,7 @@ def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(head.cast("binary")).alias("head"))
 
 
-@query("grounded_prompts")
+@query("grounded_prompts", sql_texts.grounded(BM25))
 def grounded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     index = retrieval.build_index(docs, "doc_id", F.col("text"))
@@ -357,51 +357,70 @@ def grounded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "answers_with_retry",
-    "SELECT item_id AS qid, 'answered' AS status FROM benchmark",
+    f"SELECT item_id AS qid, 'answered' AS status, CASE WHEN ({sql_texts.md5_number('CAST(item_id AS VARCHAR)')}) % 4 = 0 THEN 2 ELSE 1 END AS attempts, 'The sources say so [S1].' AS answer FROM benchmark",
 )
 def answers_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     check = lambda reply: retrieval.citation_check(reply, F.lit(4))
     rounds = loops.ask_until(items, "qid", retrieval.grounded_prompt(F.col("text"), F.lit("[S1] a"), F.col("complaint")), check, models.mock_answer(), most=2)
-    return loops.answer_status(rounds, items.select("qid", F.lit("passed").alias("gate"))).select("qid", "status")
+    return loops.answer_status(rounds, items.select("qid", F.lit("passed").alias("gate"))).select("qid", "status", "attempts", "answer")
 
 
-@query("objectives_with_retry", "SELECT CAST(p_partkey AS BIGINT) AS topic, CAST(2 AS INTEGER) AS attempts FROM part")
+_TRIED = "CASE attempt WHEN 1 THEN 'Learners will understand ' ELSE 'Explain ' END || topic || CASE attempt WHEN 1 THEN '' ELSE '.' END"
+
+
+@query(
+    "objectives_with_retry",
+    f"""WITH topics AS (SELECT conv_id * 1000 + turn AS id, trim(regexp_replace(text, '[<>]', '', 'g'), {sql_texts.BLANKS}) AS topic FROM conversations WHERE role = 'user'),
+    tried AS (SELECT id, attempt, {_TRIED} AS text FROM topics, (VALUES (1), (2), (3)) v(attempt)),
+    judged AS (SELECT id, attempt, {REASON} AS reason FROM (SELECT id, attempt, text, {OBJECTIVE} AS o FROM tried))
+    SELECT j.id, CAST(attempt AS INTEGER) AS attempt, reason = 'ok' AS ok, reason FROM judged j WHERE NOT EXISTS (SELECT 1 FROM judged k WHERE k.id = j.id AND k.attempt < j.attempt AND k.reason = 'ok')""",
+)
 def objectives_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("topic"), "p_name")
-    prompt = F.concat(F.lit("Write one objective. <topic>"), "p_name", F.lit("</topic>"), F.coalesce(F.concat(F.lit(" Not accepted: "), "complaint"), F.lit("")))
+    """What users ask for as topics: every attempt and why it was turned down, up to three."""
+    topics = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    topics = topics.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace("text", "[<>]", "").alias("topic"))
+    prompt = F.concat(F.lit("Write one objective. <topic>"), "topic", F.lit("</topic>"), F.coalesce(F.concat(F.lit(" Not accepted: "), "complaint"), F.lit("")))
     check = lambda reply: F.struct((validation.objective_reason(reply) == "ok").alias("ok"), validation.objective_reason(reply).alias("reason"))
-    return loops.accepted(loops.ask_until(topics, "topic", prompt, check, models.mock_objective()), "topic").select("topic", "attempts")
+    return loops.ask_until(topics, "id", prompt, check, models.mock_objective()).select("id", "attempt", "ok", "reason")
 
 
-@query("map_reduce_material")
+@query("map_reduce_material", sql_texts.MATERIAL)
 def map_reduce_material(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = chunks.sampled_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 10, "head", 400, 0)
     rows = loops.map_reduce_summary(sampled, "doc_id", "window_no", "window", "Note what matters.\n<document>{{TEXT}}</document>", models.mock_summary)
     return rows.select("doc_id", F.md5(F.col("material").cast("binary")).alias("digest"))
 
 
-@query("fake_embeddings")
+@query("fake_embeddings", sql_texts.VECTORS)
 def fake_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", models.fake_embedding(F.col("text")).alias("vector"))
-    return rows.select("item_id", F.round(numbers.norm(F.col("vector")), 6).alias("norm"), F.size("vector").alias("size"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(models.fake_embedding(F.col("text"))).alias("place", "value"))
+    return rows.select("item_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
-@query("run_outcome_explode", """WITH r(lab, ok) AS (VALUES ('0', TRUE), ('1', TRUE), ('2', FALSE), ('3', TRUE), ('3b', TRUE), ('4', TRUE), ('5', FALSE), ('6', FALSE)) SELECT lab, ok AS as_expected FROM r""")
+@query(
+    "run_outcome_explode",
+    """WITH r AS (SELECT doc_id // 8 AS run, ['0', '1', '2', '3', '3b', '4', '5', '6'][doc_id % 8 + 1] AS lab, bool_or(quality = 1) AS a, bool_or(toxic = 1) AS b FROM labels GROUP BY ALL)
+    SELECT run, lab, CASE WHEN lab IN ('1', '2') THEN a AND NOT (b AND lab = '2') WHEN lab = '3' THEN a WHEN lab = '3b' THEN a AND b WHEN lab = '4' THEN a AND NOT b WHEN lab = '5' THEN a AND NOT b ELSE NOT b END AS as_expected FROM r""",
+)
 def run_outcome_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assessment of a fixed set of outcomes, one of each kind."""
-    outcomes = [
-        ("0", 1, 0, '{"samples": []}'),
-        ("1", 1, 0, '{"results": [{"kind": "vague", "passed": false}, {"kind": "specific", "passed": true}]}'),
-        ("2", 1, 0, '{"results": [{"variant": "without skill", "passed": true}, {"variant": "with skill", "passed": false}]}'),
-        ("3", 1, 0, '{"verify_exit_code": 0}'),
-        ("3b", 1, 0, '{"verify_exit_code": 1, "corpus_restored": true, "failures": ["[anonymisation] an address"]}'),
-        ("4", 1, 0, '{"stop_condition_met": true, "hit_step_limit": false, "model_recorded_in_state": "m", "report_written": true}'),
-        ("5", 1, 0, '{"agent_exit_code": 0, "baseline_score": 0, "final_score": 0}'),
-        ("6", 1, 1, None),
-    ]
-    runs = spark.createDataFrame([(*o, "m") for o in outcomes], "lab string, attempt int, exit_code int, data string, model string")
-    return evaluation.assess(runs)
+    """Runs of eight labs each, whose outcomes come from labels: a is the quality, b the toxicity of a lab's document."""
+    lab = F.element_at(F.array(*[F.lit(x) for x in ("0", "1", "2", "3", "3b", "4", "5", "6")]), (F.col("doc_id") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "labels").groupBy(F.floor(F.col("doc_id") / 8).alias("run"), lab.alias("lab"))
+    rows = rows.agg(F.bool_or(F.col("quality") == 1).alias("a"), F.bool_or(F.col("toxic") == 1).alias("b"))
+    tried = lambda kind, first, second: F.to_json(F.struct(F.array(F.struct(F.lit(first).alias(kind), F.lit(False).alias("passed")), F.struct(F.lit(second).alias(kind), F.col("a").alias("passed"))).alias("results")))
+    number = lambda c: (~c).cast("int")
+    data = (
+        F.when(F.col("lab") == "1", tried("kind", "vague", "specific")).when(F.col("lab") == "2", tried("variant", "without skill", "with skill"))
+        .when(F.col("lab") == "3", F.to_json(F.struct(number(F.col("a")).alias("verify_exit_code"))))
+        .when(F.col("lab") == "3b", F.to_json(F.struct(F.col("b").cast("int").alias("verify_exit_code"), F.col("a").alias("corpus_restored"), F.array(F.lit("[anonymisation] an address")).alias("failures"))))
+        .when(F.col("lab") == "4", F.to_json(F.struct(F.col("a").alias("stop_condition_met"), F.col("b").alias("hit_step_limit"), F.lit("m").alias("model_recorded_in_state"), F.lit(True).alias("report_written"))))
+        .when(F.col("lab") == "5", F.to_json(F.struct(F.lit(0).alias("agent_exit_code"), F.col("b").cast("int").alias("baseline_score"), F.col("a").cast("int").alias("final_score"))))
+        .otherwise(F.lit('{"samples": []}'))
+    )
+    crashed = (F.col("b") & F.col("lab").isin("0", "2", "6")).cast("int")
+    runs = rows.select("run", "lab", F.lit(1).alias("attempt"), crashed.alias("exit_code"), data.alias("data"), F.lit("m").alias("model"))
+    return evaluation.assess(runs, ["run"])
 
 
 @query("tokens_per_word", f"SELECT lang, round(sum(t) / sum(w), 4) AS tokens_per_word FROM (SELECT lang, {count_sql('text')} AS w, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) GROUP BY lang")
@@ -476,18 +495,18 @@ def all_pass_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.when(F.bool_and(ok), 0).otherwise(1).alias("exit_code"), F.count_if(ok).alias("passed"))
 
 
-@query("validated_records")
+@query("validated_records", sql_texts.RECORDS)
 def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as summary records: rendered, parsed again and checked."""
     from ..sources.sinks import render_record_a
 
-    body = F.array_join(F.slice(text.words(text.strip_tags(F.col("html"))), 1, 60), " ")
+    body = text.strip_tags(F.col("html"))
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
     raw = F.to_json(F.struct(title.alias("title"), F.lit("Body").alias("issuing_body"), F.lit("unknown").alias("country_or_region"), F.lit("2024").alias("year"), F.lit("Page").alias("document_type"), body.alias("summary"), F.lit("a; b, A, c").alias("keywords")))
     rows = table(spark, sf_dir, "pages").select("page_id", "url", payload.summary_record(payload.json_object_text(raw)).alias("r"))
     # Each step is a column of its own: what later ones use many times is then computed once.
     rows = rows.withColumn("md", render_record_a(F.col("r"), F.col("url"), "agent", "model", "2024-01-01")).withColumn("p", tables.parse_summary_a(F.col("md")))
-    return rows.select("page_id", validation.file_errors(F.col("p")).alias("errors"), F.size("p.keywords").alias("keywords"))
+    return rows.select("page_id", F.array_join(validation.file_errors(F.col("p")), "; ").alias("errors"), F.size("p.keywords").alias("keywords"))
 
 
 @query(
