@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..storage import numbered, stored
+from ..storage import numbered, spread, stored
 
 #: Labels and shapes in the order that they apply.
 RULES = (
@@ -47,7 +47,7 @@ def _listed(rule: int, label: str) -> Column:
 def find_identifiers(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
     """docs(doc, text) with finds (array of struct rule, pos, label, original) and masked, the text with a place holder for each find. Names
     given come first, the longest first; all places of a name are one replacement, and its finds share a place holder."""
-    out = docs.select("doc", "text", F.coalesce("text", F.lit("")).alias("masked"), F.array().cast("array<struct<rule:int,pos:int,label:string,original:string>>").alias("finds"))
+    out = spread(docs.select("doc", "text")).select("doc", "text", F.coalesce("text", F.lit("")).alias("masked"), F.array().cast("array<struct<rule:int,pos:int,label:string,original:string>>").alias("finds"))
     given = sorted({n.strip() for n in names or [] if n.strip()}, key=lambda n: (-len(n), n))
     for i, name in enumerate(given):
         pattern = rf"(?U)\b\Q{name}\E\b"

@@ -66,8 +66,7 @@ def _index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
 )
 def doc_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    rows = index.frequencies.crossJoin(F.broadcast(index.stats))  # one row
-    return rows.select("term", "df", F.round(numbers.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return index.frequencies.select("term", "df", F.round("weight", 6).alias("idf"))
 
 
 BM25 = (

@@ -53,3 +53,10 @@ def numbered(df: DataFrame, order: list[Column], name: str, group: str | None =
     place = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
     rows = dealt.withColumn("_place", place).join(starts, ["_range", *([group] if group else [])])
     return rows.withColumn(name, F.col("_start") + F.col("_place")).select(*df.columns, name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to as many partitions as the cluster works on at once where it has fewer, as a table in one small file has. Larger tables stay
+    as they are, so no large table is ever shuffled for this."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -182,3 +182,31 @@ def test_plans(spark):
     scores = spark.range(100).selectExpr("id % 5 as qid", "id as key", "id as ord", "cast(id as double) as score")
     plan = retrieval.best(scores, 4)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_pruned_ranking_is_the_whole_one(spark):
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    draw = lambda n: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(300)], k=n))
+    docs = spark.createDataFrame([(i, draw(rng.randrange(0, 60))) for i in range(300)], "doc long, text string")
+    asked = spark.createDataFrame([(i, draw(rng.randrange(0, 25))) for i in range(30)] + [(99, "nowhere")], "q long, text string")
+    index = retrieval.build_index(docs, "doc", F.col("text"))
+    every = retrieval.best(retrieval.keyword_scores(index, asked, "q", "text"), 4)
+    rows = lambda df: sorted((r["qid"], r["rank"], r["key"], round(r["score"], 9)) for r in df.collect())
+    want = rows(every)
+    for prune_from in (0, 10**9):
+        assert rows(retrieval.best_keyword_scores(index, asked, "q", "text", 4, prune_from)) == want
+
+
+def test_numbers_over_ranges(spark):
+    from corpusmill.storage import numbered
+
+    df = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 as v", "id % 3 as g").repartition(5)
+    rows = numbered(df, [F.col("v")], "n").collect()
+    assert all(r["n"] == r["v"] + 1 for r in rows) and len(rows) == 1000
+    by = {}
+    for r in numbered(df, [F.desc("v")], "n", "g").collect():
+        by.setdefault(r["g"], {})[r["n"]] = r["v"]
+    assert all([v[i] for i in range(1, len(v) + 1)] == sorted(v.values(), reverse=True) for v in by.values())
