@@ -9,19 +9,25 @@ from ..catalogue import query
 from ..functions import numbers, payload, text
 from ..operators import chunks, evaluation, privacy, retrieval, validation
 from ..session import table
+from ..storage import spread
 from . import sql_texts
 
 STOP_SQL = ", ".join(f"'{w}'" for w in retrieval.STOPWORDS)
 words_sql, count_sql = sql_texts.words, sql_texts.word_count
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their texts, spread over all cores where the table is one small file."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 @query(
     "word_stats_by_lang",
     f"""SELECT lang, count(*) AS documents, sum({count_sql('text')})::BIGINT AS words, round(sum({count_sql('text')}) / greatest(count(*), 1), 6) AS mean_words,
     max({count_sql('text')})::BIGINT AS most_words FROM documents GROUP BY lang""",
 )
 def word_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("lang", text.word_count(F.col("text")).alias("w"))
+    rows = _documents(spark, sf_dir).select("lang", text.word_count(F.col("text")).alias("w"))
     mean = F.round(F.sum("w") / F.greatest(F.count("*"), F.lit(1)), 6)
     return rows.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("w").alias("words"), mean.alias("mean_words"), F.max("w").alias("most_words"))
 
@@ -32,7 +38,7 @@ def word_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term) ORDER BY n DESC, term LIMIT 20""",
 )
 def token_frequency_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("term"))
+    terms = _documents(spark, sf_dir).select(F.explode(text.tokens(F.col("text"))).alias("term"))
     top = terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(20)
     from pyspark.sql import Window
 
@@ -191,7 +197,7 @@ win AS (SELECT doc_id, CAST(i AS INTEGER) AS window_no, n, CASE WHEN n <= 180 TH
 
 @query("word_windows", f"WITH {WINDOWS} SELECT doc_id, window_no, words::BIGINT AS words, md5(win_text) AS digest FROM win")
 def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks.word_windows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = chunks.word_windows(_documents(spark, sf_dir), "doc_id", "text")
     return rows.select("doc_id", "window_no", "words", F.md5(F.col("window").cast("binary")).alias("digest"))
 
 
@@ -201,7 +207,7 @@ def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, window_no FROM counted WHERE c <= 5 OR window_no < 2 OR list_contains(list_transform(range(0, 3), lambda i: CAST(floor(i * ((c - 2) / 3.0)) AS INTEGER) + 2), window_no)""",
 )
 def even_sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.sampled_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 5, "head").select("doc_id", "window_no")
+    return chunks.sampled_windows(_documents(spark, sf_dir), "doc_id", "text", 5, "head").select("doc_id", "window_no")
 
 
 @query(
@@ -210,7 +216,7 @@ def even_sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, window_no FROM counted WHERE c <= 4 OR list_contains(list_transform(range(0, 4), lambda i: CAST(round_even(i * ((c - 1) / 3.0), 0) AS INTEGER)), window_no)""",
 )
 def even_sample_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.sampled_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 4, "ends").select("doc_id", "window_no")
+    return chunks.sampled_windows(_documents(spark, sf_dir), "doc_id", "text", 4, "ends").select("doc_id", "window_no")
 
 
 EMAIL = "\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b"
@@ -221,7 +227,7 @@ EMAIL = "\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b"
     f"SELECT doc_id, hit, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS hit FROM documents) GROUP BY ALL",
 )
 def pii_email_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(privacy.hits(F.col("text"), "EMAIL")).alias("hit"))
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(privacy.hits(F.col("text"), "EMAIL")).alias("hit"))
     return rows.groupBy("doc_id", "hit").agg(F.count("*").alias("n"))
 
 
@@ -230,12 +236,12 @@ def pii_email_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:Dr|Prof|Mr|Mrs|Ms|Mx|Ing|Eng|Sr|Sra|Herr|Frau)\\.?[ \\t]+(?:[A-ZÀ-Þ][\\pL\\pN_''’-]+[ \\t]+){0,2}[A-ZÀ-Þ][\\pL\\pN_''’-]+')) AS hit FROM documents",
 )
 def pii_person_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(privacy.hits(F.col("text"), "PERSON")).alias("hit"))
+    return _documents(spark, sf_dir).select("doc_id", F.explode(privacy.hits(F.col("text"), "PERSON")).alias("hit"))
 
 
 @query("pii_phone_hits", sql_texts.PHONE_HITS)
 def pii_phone_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(privacy.hits(F.col("text"), "PHONE")).alias("hit"))
+    return _documents(spark, sf_dir).select("doc_id", F.explode(privacy.hits(F.col("text"), "PHONE")).alias("hit"))
 
 
 def _numbered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +290,7 @@ def leak_scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'pattern') AS slug FROM documents",
 )
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+    return _documents(spark, sf_dir).select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query(
@@ -293,7 +299,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lambda p: CASE WHEN regexp_matches(p, '^[A-Za-z]{7,}$') THEN CAST(ceil(len(p) / 4) AS BIGINT) ELSE 1 END)), 0)::BIGINT AS tokens FROM documents""",
 )
 def rough_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.rough_tokens(F.col("text")).alias("tokens"))
+    return _documents(spark, sf_dir).select("doc_id", text.rough_tokens(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -301,7 +307,7 @@ def rough_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest, len(regexp_extract_all(text, '[.!?](?:\\s|$)'))::BIGINT AS ends FROM documents",
 )
 def squeezed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.squeeze(F.col("text")).cast("binary")).alias("digest"), text.sentence_ends(F.col("text")).alias("ends"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.squeeze(F.col("text")).cast("binary")).alias("digest"), text.sentence_ends(F.col("text")).alias("ends"))
 
 
 @query(
@@ -312,7 +318,7 @@ def squeezed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_text_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
     digest = lambda c: F.md5(c.cast("binary"))
-    return table(spark, sf_dir, "documents").select("doc_id", digest(text.clean_profile_a(x)).alias("a"), digest(text.clean_profile_b(x)).alias("b"))
+    return _documents(spark, sf_dir).select("doc_id", digest(text.clean_profile_a(x)).alias("a"), digest(text.clean_profile_b(x)).alias("b"))
 
 
 CUT = f"array_to_string(({words_sql('text')})[1:20], ' ')"
@@ -330,7 +336,7 @@ def truncate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sentence_trim", sql_texts.SENTENCES)
 def sentence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     trimmed = text.trim_to_limit(F.col("text"), 40)
-    return table(spark, sf_dir, "documents").select("doc_id", trimmed["mode"].alias("mode"), F.md5(trimmed["text"].cast("binary")).alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", trimmed["mode"].alias("mode"), F.md5(trimmed["text"].cast("binary")).alias("digest"))
 
 
 BARE = "trim(trim(trim(text, e' \\t\\n\\r\\x0b\\f'), '\"'), '''')"

@@ -9,7 +9,7 @@ from ..catalogue import query
 from ..functions import numbers, payload, text
 from ..operators import chunks, evaluation, retrieval, tables, validation
 from ..session import table
-from ..storage import numbered
+from ..storage import numbered, spread
 from . import loops, models, sql_texts
 from .queries import BM25, OBJECTIVE, REASON, count_sql
 
@@ -387,7 +387,7 @@ def objectives_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("map_reduce_material", sql_texts.MATERIAL)
 def map_reduce_material(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sampled = chunks.sampled_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 10, "head", 400, 0)
+    sampled = chunks.sampled_windows(spread(table(spark, sf_dir, "documents")), "doc_id", "text", 10, "head", 400, 0)
     rows = loops.map_reduce_summary(sampled, "doc_id", "window_no", "window", "Note what matters.\n<document>{{TEXT}}</document>", models.mock_summary)
     return rows.select("doc_id", F.md5(F.col("material").cast("binary")).alias("digest"))
 
