@@ -33,8 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of all nodes in edges(a, b); loops and repeated edges change nothing, and without edges there are no rows. Each
     table is written to the shared folder, none refers to more than the one before. A node with very many edges is only ever aggregated."""
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    labels = stored(edges.select("a").union(edges.select("b")).toDF("node").distinct().withColumn("component", F.col("node")), "labels")
-    turn = 0
+    labels, turn = None, 0
     while not edges.isEmpty():
 
         def order(node: str) -> Column:
@@ -44,15 +43,22 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min(order("b")).alias("near"))
         hooks = least.select(F.col("a").alias("node"), F.when(F.col("near") < order("a"), F.col("near.id")).otherwise(F.col("a")).alias("to"))
         roots = _roots(stored(hooks, "hooks"))
-        moved = labels.join(roots.select(F.col("node").alias("component"), "to"), "component", "left")
-        moved = stored(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
+        if labels is None:
+            moved = roots.toDF("node", "component")
+        else:
+            moved = labels.join(roots.select(F.col("node").alias("component"), "to"), "component", "left")
+            moved = stored(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
         x, y = roots.toDF("a", "x"), roots.toDF("b", "y")
         left = edges.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = stored(left.distinct(), "edges")
-        discard(labels, edges, roots)
+        discard(labels, edges)
+        if labels is None:
+            moved._stored_at = roots._stored_at  # the first labels are the first roots
+        else:
+            discard(roots)
         labels, edges, turn = moved, left, turn + 1
     if turn > BY_ID:  # roots chosen by hash needn't be the smallest
         smallest = labels.groupBy("component").agg(F.min("node").alias("smallest"))
         labels = stored(labels.join(smallest, "component").select("node", F.col("smallest").alias("component")), "labels")
     discard(edges)
-    return labels
+    return labels if labels is not None else edges.toDF("node", "component").limit(0)

@@ -24,7 +24,7 @@ from .wordhash import BASE_A, Runs, hashes_of
 SHINGLE, PERCENT = 5, 75
 #: Members from which a list is long; shingles that a task counts at a time; counts in such a unit, and in all, from which one is frequent;
 #: frequent shingles that the order knows at most (its choice affects speed, never links); rounds with one set of each list.
-LONG, UNIT, OFTEN, FREQUENT, KNOWN, ROUNDS = 48, 4_000_000, 3, 32, 1 << 17, 3
+LONG, UNIT, OFTEN, FREQUENT, KNOWN, ROUNDS = 48, 2_000_000, 3, 32, 1 << 17, 3
 #: Prefix entries that a bucket holds, about.
 BUCKET = 1_000_000
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch, so that a batch of the longest documents still fits a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch at most (and one row, however long), so that batches of the longest documents still fit a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -53,7 +53,9 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """For all that this session plans from now on: batches no larger than these, whatever it had before."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
