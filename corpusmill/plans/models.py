@@ -102,6 +102,81 @@ def http(url: str, model: str, style: str = "completion", temperature: float = 0
     return lambda prompts: prompts.select(F.col("prompt_id").cast("string"), F.col("attempt").cast("int"), "prompt").mapInPandas(run, REPLY)
 
 
+def _posted(url: str, body: dict | None, timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode() if body is not None else None, {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.load(answer)
+
+
+#: What a call may fail with: no server, no such field, no JSON.
+FAILURES = (OSError, KeyError, TypeError, ValueError)
+
+
+def installed(url: str, timeout: float = 5.0) -> list[str]:
+    """Names of the models that a server has; none where there is no server."""
+    try:
+        return sorted(m["name"] for m in _posted(f"{url}/api/tags", None, timeout)["models"])
+    except FAILURES:
+        return []
+
+
+def is_ready(names: list[str], model: str) -> bool:
+    """A name without a tag also means its latest."""
+    return model in names or f"{model}:latest" in names
+
+
+def prompt_tokens(url: str, model: str, timeout: float = 120.0) -> Backend:
+    """prompt_id and the number of tokens that the server says a prompt has; null where the call fails. The answer itself is thrown away."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            counts = []
+            for text in batch["prompt"]:
+                try:
+                    counts.append(int(_posted(f"{url}/api/generate", {"model": model, "prompt": text, "stream": False, "options": {"num_predict": 1}}, timeout)["prompt_eval_count"]))
+                except FAILURES:
+                    counts.append(None)
+            yield pd.DataFrame({"prompt_id": batch["prompt_id"], "tokens": pd.array(counts, "Int64")})
+
+    return lambda prompts: prompts.select(F.col("prompt_id").cast("string"), "prompt").mapInPandas(run, "prompt_id string, tokens long")
+
+
+def http_embeddings(url: str, model: str, together: int = 32, timeout: float = 120.0) -> Backend:
+    """key and vector of a frame with key and text. Texts are sent together; where that fails or gives another number of vectors, one by one to
+    the older address; a text that fails there too has a null vector."""
+
+    def alone(text: str) -> list[float] | None:
+        try:
+            return list(map(float, _posted(f"{url}/api/embeddings", {"model": model, "prompt": text}, timeout)["embedding"])) or None
+        except FAILURES:
+            return None
+
+    def vectors(texts: list[str]) -> list[list[float] | None]:
+        try:
+            found = [list(map(float, v)) for v in _posted(f"{url}/api/embed", {"model": model, "input": texts}, timeout)["embeddings"]]
+        except FAILURES:
+            found = []
+        return found if len(found) == len(texts) and all(found) else list(map(alone, texts))
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            texts = [t or "" for t in batch["text"]]
+            out = [v for i in range(0, len(texts), together) for v in vectors(texts[i : i + together])]
+            yield pd.DataFrame({"key": batch["key"], "vector": out})
+
+    return lambda rows: rows.select(F.col("key").cast("string"), "text").mapInPandas(run, "key string, vector array<double>")
+
+
+def whole_or_none(embedded: DataFrame) -> DataFrame:
+    """Vectors as they are if no row lacks one; else all are null, and ranking goes by keywords alone. Store embedded first: it is read twice."""
+    gap = embedded.agg(F.coalesce(F.bool_or(F.col("vector").isNull()), F.lit(False)).alias("_gap"))
+    return embedded.crossJoin(F.broadcast(gap)).select("key", F.when(~F.col("_gap"), F.col("vector")).alias("vector"))  # one row
+
+
 def choose(name: str | None, definition: dict, default: str = "mock") -> str:
     """A backend's name: what the caller says, else the environment, else the agent's definition, else the default."""
     return name or os.environ.get("CORPUSMILL_BACKEND") or definition.get("backend") or default

@@ -183,3 +183,48 @@ def test_foreign_pdf_commands():
     objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1/Resources<<>>>>", b"<</Type/Page/Parent 2 0 R/Contents[4 0 R]>>", b"<</Length %d>>stream\r\n%b\nendstream" % (len(body), body)]
     data = b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%b\nendobj" % (i, o) for i, o in enumerate(objects, 1))
     assert pdf.extract(data)[0] == ["A (b) A\nC d\ne"] and pdf.extract(b"%PDF-1.4\n")[0] == []
+
+
+def test_model_server(spark):
+    """Embeddings together, one by one, and not at all; installed models and token counts."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Server(BaseHTTPRequestHandler):
+        def answer(self, data, status=200):
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(data).encode())
+
+        def do_GET(self):
+            self.answer({"models": [{"name": "small:latest"}]})
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == "/api/embed":
+                good = body["model"] == "small" and "odd" not in " ".join(body["input"])
+                self.answer({"embeddings": [[len(t), 1.0] for t in body["input"]]} if good else {"error": "x"}, 200 if good else 404)
+            elif self.path == "/api/embeddings":
+                self.answer({"embedding": [] if body["prompt"] == "very odd" else [len(body["prompt"]), 1.0]})
+            else:
+                self.answer({"response": "x", "prompt_eval_count": len(body["prompt"].split())})
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert models.is_ready(models.installed(url), "small") and not models.is_ready(models.installed(url), "large") and models.installed("http://127.0.0.1:9") == []
+        embed = models.http_embeddings(url, "small", together=2)
+        vectors = lambda texts: {r["key"]: r["vector"] for r in models.whole_or_none(embed(spark.createDataFrame(list(enumerate(texts)), "key long, text string"))).collect()}
+        assert vectors(["a", "bb", "odd"]) == {"0": [1.0, 1.0], "1": [2.0, 1.0], "2": [3.0, 1.0]}
+        assert vectors(["a", "very odd"]) == {"0": None, "1": None}
+        down = models.http_embeddings("http://127.0.0.1:9", "small", timeout=1)
+        assert down(spark.createDataFrame([(1, "a")], "key long, text string")).first()["vector"] is None
+        prompts = spark.createDataFrame([("p", "one two three")], "prompt_id string, prompt string")
+        assert models.prompt_tokens(url, "small")(prompts).first()["tokens"] == 3 and models.prompt_tokens("http://127.0.0.1:9", "m", 1)(prompts).first()["tokens"] is None
+    finally:
+        server.shutdown()
