@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, packing, quality, secrets, substring, topk, toxicity, warc
+from . import bpe, infill, jaccard, media, packing, quality, secrets, substring, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -19,6 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_warc": warc.op9_warc,
     "op10_bpe": bpe.op10_bpe,
+    "op11_infill": infill.op11_infill,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_topk": topk.OP4_SQL, "op5_substring": substring.OP5_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_warc": warc.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": topk.OP4_SQL,
+    "op5_substring": substring.OP5_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
+    "op11_infill": infill.OP11_SQL,
+}
