@@ -43,7 +43,7 @@ def test_units_are_those_of_the_pattern():
 
 
 def test_documents(spark, awkward):
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(awkward)] + [(None, "null id", "x"), (4, "a  b\n\nc d", "x")], "doc_id long, text string, output string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(awkward)] + [(None, "null id", "x"), (4, awkward[4], "x")], "doc_id long, text string, output string")
     made = infill.fill_in_middle(df)
     rows = infill.restored(made).collect()
     assert len(rows) == len(awkward) + 2
