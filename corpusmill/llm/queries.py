@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, infill, jaccard, media, packing, quality, secrets, substring, topk, toxicity, warc
+from . import bpe, infill, jaccard, media, packing, quality, repair, secrets, substring, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9_warc,
     "op10_bpe": bpe.op10_bpe,
     "op11_infill": infill.op11_infill,
+    "op12_repair": repair.op12_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_jaccard": jaccard.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op11_infill": infill.OP11_SQL,
+    "op12_repair": repair.OP12_SQL,
 }
