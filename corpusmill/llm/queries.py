@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, infill, jaccard, media, packing, quality, repair, secrets, substring, topk, toxicity, warc
+from . import bpe, infill, jaccard, maxent, media, packing, quality, repair, secrets, substring, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
     "op11_infill": infill.op11_infill,
     "op12_repair": repair.op12_repair,
+    "op13_maxent": maxent.op13_maxent,
 }
 
 ORACLE_SQL: dict[str, str] = {
