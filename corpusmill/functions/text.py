@@ -201,6 +201,25 @@ def contains_term(x: Column, term: str, hyphens: bool = True) -> Column:
     return F.lower(x).rlike(rf"(?U)(?<!{edge})\Q{term.lower()}\E(?!{edge})")
 
 
+def terms_alone(x: Column, terms: Sequence[str], hyphens: bool = True) -> Column:
+    """Those of the terms that stand alone in a text, in the order given: contains_term() of all of them in one pass. At a place the longest term
+    that stands alone there is found; shorter ones that it begins with stand there too."""
+    if not terms:
+        return F.array().cast("array<string>")
+    edge = r"[\w-]" if hyphens else r"\w"
+    lower = list(dict.fromkeys(t.lower() for t in terms))
+    either = "|".join(rf"\Q{t}\E" for t in sorted(lower, key=len, reverse=True))
+    found = F.regexp_extract_all(F.lower(x), F.lit(rf"(?U)(?=(?<!{edge})({either})(?!{edge}))"), 1)
+    ends = lambda c: not (c.isalnum() or c == "_" or hyphens and c == "-")
+    for long in lower:
+        if begun := [t for t in lower if t != long and long.startswith(t) and ends(long[len(t)])]:
+            found = F.when(F.array_contains(found, long), F.concat(found, F.array(*map(F.lit, begun)))).otherwise(found)
+    given = F.transform(F.array_intersect(F.array(*map(F.lit, lower)), found), lambda t: t)
+    if lower == list(terms):
+        return given
+    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(given, F.lower(t)))
+
+
 def array_or_empty(items: Sequence[Column]) -> Column:
     """An array of those columns that aren't null."""
     return F.array_compact(F.array(*items)) if items else F.array().cast("array<string>")

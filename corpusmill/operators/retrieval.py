@@ -1,21 +1,17 @@
-"""Keyword index, BM25 and vector ranking, rank fusion, the evidence gate, grounding and citation checks.
+"""BM25 and vector ranking over the stored index, rank fusion, the evidence gate, grounding and citation checks.
 
-The index is built once: its postings are stored, with what each would give to a score of weight one, and the frequencies with the most that any
-posting of the term gives. All questions are ranked in one plan. The best terms of each question give a first threshold; the terms whose bounds
-can't reach it together, common words above all, are then looked up only for passages that the others leave in the race (few postings are just joined). Passages without a
-common term matter only where a question has fewer hits than places, and are filled in there in index order.
+All questions of a set are ranked in one plan. Passages without a common term matter only where a question has fewer hits than places, and are filled
+in there in index order.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import bm25, cosine, coverage, idf, reciprocal_rank
+from ..functions.numbers import cosine, coverage, reciprocal_rank
 from ..functions.text import strip, tokens
-from ..storage import spread, stored
+from .index import DIGITS, Index, best, best_keyword_scores, build_index, index_of, keyword_scores, texts_at  # noqa: F401
 
 #: Words that say nothing about relevance, passages per question, and the gate's thresholds (which fit one corpus only).
 STOPWORDS = (
@@ -24,12 +20,6 @@ STOPWORDS = (
     "other such than then there about after before during over under between per"
 ).split()
 TOP_K, LEAST_SCORE, LEAST_COVERAGE = 4, 5.0, 0.55
-#: Digits to which scores are equal: sums of equal parts may differ in their last bits by the order in which partitions add them.
-DIGITS = 9
-#: Terms of a question that give its first threshold, and how far under it a sum may lie and still count as reaching it.
-SEED, SLACK = 8, 1e-6
-#: Postings that questions must have in all for pruning to be worth its passes.
-PRUNE_FROM = 50_000_000
 #: What every grounded prompt begins with.
 PROMPT_RULES = (
     "Use nothing but the numbered sources. Put the number of its source, like [S1], behind each statement. "
@@ -37,100 +27,26 @@ PROMPT_RULES = (
 )
 
 
-@dataclass
-class Index:
-    """passages(key, ord, blob), postings(key, ord, length, term, tf, part), frequencies(term, df, most, weight), stats(n, mean_length; one
-    row). part is a posting's gain for a weight of one, most the largest of a term's postings, weight its idf."""
-
-    passages: DataFrame
-    postings: DataFrame
-    frequencies: DataFrame
-    stats: DataFrame
-
-
-def build_index(passages: DataFrame, key: str, text: Column, order: str | None = None) -> Index:
-    """text is what is searched: a passage's text, section and title. order breaks ties; it defaults to the key. A key stands for one passage."""
-    base = passages.select(F.col(key).alias("key"), F.col(order or key).alias("ord"), F.coalesce(text, F.lit("")).alias("blob"))
-    split = spread(base).select("key", "ord", tokens(F.col("blob")).alias("terms")).select("key", "ord", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    counted = stored(split.groupBy("key", "ord", "length", "term").agg(F.count("*").alias("tf")), "postings")
-    n, total = base.count(), counted.agg(F.sum("tf")).first()[0] or 0
-    mean = total / max(n, 1)
-    stats = passages.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(float(mean)).alias("mean_length"))
-    postings = counted.withColumn("part", bm25(F.col("tf"), F.col("length"), F.lit(float(mean or 1)), F.lit(1.0)))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
-    frequencies = frequencies.withColumn("weight", idf(F.lit(n), F.col("df")))
-    return Index(base.select("key", "ord", F.lower("blob").alias("blob")), postings, frequencies, stats)
-
-
 def content_terms(x: Column) -> Column:
     """Tokens of over two letters that aren't stopwords, repeats kept."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     return F.filter(tokens(x), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
 
 
-def _asked(index: Index, questions: DataFrame, qid: str, question: str) -> DataFrame:
-    """qid, term, gain (of a part of one), bound (the most that any passage gets). Repeated terms of a question count each time."""
-    times = questions.select(F.col(qid).alias("qid"), F.explode(tokens(F.col(question))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    rows = times.join(index.frequencies, "term").withColumn("gain", F.col("times") * F.col("weight"))
-    return rows.select("qid", "term", "gain", (F.col("gain") * F.col("most")).alias("bound"), "df")
-
-
-def _summed(asked: DataFrame, index: Index, name: str = "score") -> DataFrame:
-    hits = asked.join(index.postings, "term")
-    return hits.groupBy("qid", "key", "ord").agg(F.sum(F.col("gain") * F.col("part")).alias(name))
-
-
-def keyword_scores(index: Index, questions: DataFrame, qid: str, question: str) -> DataFrame:
-    """qid, key, ord, score of every passage that shares a term. Repeated terms of a question count each time; stopwords count."""
-    return _summed(_asked(index, questions, qid, question), index)
-
-
-def best_keyword_scores(index: Index, questions: DataFrame, qid: str, question: str, k: int, prune_from: int = PRUNE_FROM) -> DataFrame:
-    """The k first rows of keyword_scores() of each question, with rank. Where the questions' postings are prune_from at least, not all of them are
-    joined, with the same rows in the end: the SEED terms with the largest bounds give partial scores, whose k-th is
-    a threshold. Terms whose bounds stay under it together are left out of the join. The sums of the others give a higher threshold, and only
-    passages that can still reach that one have the terms left out looked up, by term and key."""
-    by_bound = Window.partitionBy("qid").orderBy(F.desc("bound"), "term")
-    asked = stored(_asked(index, questions, qid, question), "asked-terms")
-    if (asked.agg(F.sum("df")).first()[0] or 0) < prune_from:
-        return best(_summed(asked, index), k)
-    asked = asked.withColumn("place", F.row_number().over(by_bound))
-    seeds = best(_summed(asked.filter(F.col("place") <= SEED), index), k).filter(F.col("rank") == k).select("qid", F.col("score").alias("least"))
-    from_here = by_bound.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    split = asked.withColumn("left", F.sum("bound").over(from_here)).join(seeds, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
-    split = stored(split.withColumn("essential", F.col("left") >= F.col("least")), "split-terms")
-    rest = split.groupBy("qid").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("rest"))
-    some = _summed(split.filter("essential"), index, "sum").join(rest, "qid").filter(F.col("sum") + F.col("rest") >= F.col("least"))
-    some = stored(some.select("qid", "key", "ord", "sum", "rest"), "candidates")
-    reached = best(some.withColumnRenamed("sum", "score"), k).filter(F.col("rank") == k).select("qid", (F.col("score") - SLACK).alias("reached"))
-    some = some.join(reached, "qid", "left").filter(F.col("sum") + F.col("rest") >= F.coalesce("reached", F.lit(0.0))).select("qid", "key", "ord", "sum")
-    some = stored(some, "in-the-race")
-    probed = some.join(split.filter("not essential").select("qid", "term", "gain"), "qid").join(index.postings.select("key", "term", "part"), ["key", "term"])
-    probed = probed.groupBy("qid", "key").agg(F.sum(F.col("gain") * F.col("part")).alias("more"))
-    whole = some.join(probed, ["qid", "key"], "left").select("qid", "key", "ord", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    return best(whole, k)
-
-
 def ranked(scores: DataFrame, tie: str = "ord") -> DataFrame:
     """With rank0, from 0: score descending, ties in index order."""
     return scores.withColumn("rank0", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", DIGITS)), tie)) - 1)
 
 
-def best(scores: DataFrame, k: int) -> DataFrame:
-    """The k first of each question with rank, from 1. The filter stands on the row number itself, so that partitions cut off early."""
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", DIGITS)), "ord")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def top_passages(index: Index, questions: DataFrame, qid: str, question: str, k: int = TOP_K) -> DataFrame:
-    """qid, rank (from 1), key, ord, score: k passages for each question. Where fewer have a term in common, the first of the index come with
+    """qid, rank (from 1), key, ord, block, score: k passages for each question. Where fewer have a term in common, the first of the index come with
     a score of 0: the first k and those already found are enough to fill k places, so k rows a question are added, not the whole index."""
-    first_hits = stored(best_keyword_scores(index, questions, qid, question, k).select("qid", "key", "ord", "score"), "first-hits")
+    first_hits = best_keyword_scores(index, questions, qid, question, k).select("qid", "key", "ord", "block", "score")
     ids = questions.select(F.col(qid).alias("qid")).distinct()
     found = first_hits.groupBy("qid").agg(F.count("*").alias("found"))
     short = ids.join(found, "qid", "left").filter(F.coalesce("found", F.lit(0)) < k).select("qid")
-    first = index.passages.select("key", "ord").orderBy("ord").limit(2 * k)
-    fill = short.crossJoin(F.broadcast(first)).join(first_hits.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", "ord", F.lit(0.0).alias("score"))
+    first = index.first(2 * k)
+    fill = short.crossJoin(F.broadcast(first)).join(first_hits.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "key", "ord", "block", F.lit(0.0).alias("score"))
     return best(first_hits.unionByName(fill), k)
 
 
@@ -153,9 +69,9 @@ def fused(keyword: DataFrame, dense: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def gate(index: Index, questions: DataFrame, qid: str, question: str, found: DataFrame, least_score: float = LEAST_SCORE, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
-    """qid, best_score, coverage, gate: passed or why a question is refused before any model is asked. found: qid, rank, key, score (the keyword
-    score; the first passage's counts). A low score is named before low coverage; a question without passages has both at 0."""
-    texts = found.join(index.passages.select("key", "blob"), "key").groupBy("qid").agg(
+    """qid, best_score, coverage, gate: passed or why a question is refused before any model is asked. found: qid, rank, key, block, score (the
+    keyword score; the first passage's counts). A low score is named before low coverage; a question without passages has both at 0."""
+    texts = found.join(texts_at(index, found), "key").groupBy("qid").agg(
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best_score"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "blob"))), lambda s: s["blob"]), " ").alias("blob"),
     )

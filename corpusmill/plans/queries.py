@@ -59,11 +59,13 @@ frequencies AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
 )
 def term_frequency_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    return index.postings.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("most"))
+    rows = index.postings.select(F.explode("docs").alias("d")).select("d.key", "d.tf")
+    return rows.groupBy(F.col("key").alias("doc_id")).agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("most"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
-    return retrieval.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    """Built by the first query that asks for it and read by all others, as long as the table is the same."""
+    return retrieval.index_of(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions import numbers, payload, text
-from ..operators import chunks, evaluation, retrieval, tables, validation
+from ..operators import chunks, evaluation, patterns, retrieval, tables, validation
 from ..session import table
 from ..storage import numbered, spread
 from . import loops, models, sql_texts
@@ -252,6 +252,25 @@ def substring_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(hit).select("doc_id")
 
 
+@query(
+    "benchmark_in_documents",
+    "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
+)
+def benchmark_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document holds which benchmark text: all texts of one table looked for in all of the other, in one pass."""
+    return patterns.holding(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query(
+    "documents_without_benchmark",
+    "SELECT lang, count(*) AS documents FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text <> '' AND contains(d.text, b.text)) GROUP BY lang",
+)
+def documents_without_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = patterns.holding(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return docs.select("doc_id", "lang").join(held.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("documents"))
+
+
 @query(
     "zip_by_position",
     """SELECT a.conv_id, a.turn AS question_turn, b.turn AS answer_turn FROM
@@ -348,7 +367,7 @@ def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grounded_prompts", sql_texts.grounded(BM25))
 def grounded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    index = retrieval.build_index(docs, "doc_id", F.col("text"))
+    index = retrieval.index_of(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     found = retrieval.top_passages(index, items, "item_id", "text")
     texts = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("doc"), F.col("lang").alias("section"), text.prefix(F.col("text"), 1000).alias("text"))
     sources = retrieval.sources_block(found, texts).join(items.withColumnRenamed("item_id", "qid"), "qid")

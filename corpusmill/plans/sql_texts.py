@@ -43,8 +43,9 @@ _SHAPES = {"EMAIL": (EMAIL, 0), "IBAN": (IBAN, 0), "PHONE": (PHONE, 2), "HANDLE"
 
 
 def _identifiers() -> str:
-    """m0, f1, m1, ...: texts before each rule (apart for numbers), its finds, and the text with a place holder for each find."""
-    out, last = ["m0 AS (SELECT doc_id AS doc, coalesce(text, '') AS t FROM documents)"], "m0"
+    """m0, f1, m1, ...: texts before each rule (apart for numbers), its finds, and the text with a place holder for each find. A text's own character
+    that place holders begin with is followed by one that no place holder has, and put back in the end."""
+    out, last = ["m0 AS (SELECT doc_id AS doc, replace(coalesce(text, ''), chr(57344), chr(57344) || chr(57346)) AS t FROM documents)"], "m0"
     for i, (label, _) in enumerate(RULES):
         pattern, group = _SHAPES[label]
         x = apart("t") if label == "PHONE" else "t"
@@ -65,7 +66,8 @@ def _identifiers() -> str:
 IDENTIFIERS = _identifiers()
 SCRUBBED = f"""WITH {IDENTIFIERS},
 pieces AS (SELECT doc, i, p[i] AS x FROM (SELECT doc, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc, string_split(t, chr(57344)) AS p FROM m{len(RULES)}))),
-ruled AS (SELECT doc, i, CASE WHEN i > 1 THEN CAST(x[1] AS INTEGER) END AS rule, CASE WHEN i > 1 THEN x[3:] ELSE x END AS rest FROM pieces),
+ruled AS (SELECT doc, i, CASE WHEN i > 1 AND x[1] <> chr(57346) THEN CAST(x[1] AS INTEGER) END AS rule,
+  CASE WHEN i = 1 THEN x WHEN x[1] = chr(57346) THEN chr(57344) || x[2:] ELSE x[3:] END AS rest FROM pieces),
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc, rule ORDER BY i) - 1 AS pos FROM ruled)
 SELECT p.doc AS doc_id, md5(string_agg(coalesce(token, '') || rest, '' ORDER BY i)) AS digest FROM placed p
 LEFT JOIN hits h ON h.doc = p.doc AND h.rule = p.rule AND h.pos = p.pos LEFT JOIN tokens t ON t.label = h.label AND t.value = h.value GROUP BY p.doc"""
@@ -92,7 +94,7 @@ def summary_errors(x: str) -> str:
     person = f"(regexp_extract({x}, '{persons}', 1) || regexp_extract({x}, '{persons}', 2))"
     n = word_count(x)
     checks = [
-        f"CASE WHEN {n} > 80 THEN 'summary has ' || {n} || ' words; the maximum is 80' END",
+        f"CASE WHEN {n} > 80 THEN {n} || ' words exceed the maximum of 80' END",
         rf"CASE WHEN regexp_matches({x}, '(?m)^\s*([-*•]|\d+[.)])\s') THEN 'summary holds a list' END",
         rf"CASE WHEN len(list_filter(string_split_regex(trim({x}, {BLANKS}), '\n\s*\n'), lambda p: trim(p, {BLANKS}) <> '')) > 1 THEN 'summary is more than one paragraph' END",
         f"CASE WHEN contains({x}, '!') THEN 'summary holds an exclamation mark' END",
@@ -104,7 +106,7 @@ def summary_errors(x: str) -> str:
 
 def summary_warnings(x: str) -> str:
     n = word_count(x)
-    checks = [f"CASE WHEN {n} < 40 THEN 'summary is short (' || {n} || ' words)' END", *[f"CASE WHEN {_alone(x, t)} THEN {quoted(f"'{t}' could be more neutral")} END" for t in validation.DISCOURAGED]]
+    checks = [f"CASE WHEN {n} < 40 THEN {n} || ' words are under the usual 40' END", *[f"CASE WHEN {_alone(x, t)} THEN {quoted(f"'{t}' could be more neutral")} END" for t in validation.DISCOURAGED]]
     return f"list_filter([{', '.join(checks)}], lambda e: e IS NOT NULL)"
 
 

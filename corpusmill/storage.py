@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings, which are set back behind it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: repeated use, and lost executors, don't compute it again."""
     path = f"{new_folder(df.sparkSession, name)}/table"
@@ -60,3 +76,38 @@ def spread(df: DataFrame) -> DataFrame:
     as they are, so no large table is ever shuffled for this."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of change of a path's files: equal as long as nothing in it is written."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = target.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(target, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def commit_version(spark: SparkSession, path: str, version: int, content: dict) -> None:
+    """Creates the file of a version of what a folder holds; fails where another writer was first. What no version names is nobody's."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{version:09d}.json")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, False)
+    out.write(bytearray(json.dumps(content | {"complete": True}).encode()))
+    out.close()
+
+
+def last_version(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """The last version whose file is whole, and what it holds; (0, None) where there is none."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    files = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().getName() for s in files.listStatus(target)), reverse=True) if files.exists(target) else []
+    for name in (n for n in names if n.endswith(".json") and n[:-5].isdigit()):
+        text = spark.read.text(f"{path}/versions/{name}", wholetext=True).first()
+        with contextlib.suppress(ValueError):
+            found = json.loads(text[0] if text else "")
+            if found.get("complete"):
+                return int(name[:-5]), found
+    return 0, None

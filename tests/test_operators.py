@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import index as index_module
 from corpusmill.operators import chunks, evaluation, privacy, retrieval, tables, validation
 
 
@@ -184,7 +185,7 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_pruned_ranking_is_the_whole_one(spark):
+def test_pruned_ranking_is_the_whole_one(spark, monkeypatch):
     import random
 
     rng = random.Random(6)
@@ -192,12 +193,16 @@ def test_pruned_ranking_is_the_whole_one(spark):
     draw = lambda n: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(300)], k=n))
     docs = spark.createDataFrame([(i, draw(rng.randrange(0, 60))) for i in range(300)], "doc long, text string")
     asked = spark.createDataFrame([(i, draw(rng.randrange(0, 25))) for i in range(30)] + [(99, "nowhere")], "q long, text string")
+    monkeypatch.setattr(index_module, "BLOCK", 8)
     index = retrieval.build_index(docs, "doc", F.col("text"))
     every = retrieval.best(retrieval.keyword_scores(index, asked, "q", "text"), 4)
     rows = lambda df: sorted((r["qid"], r["rank"], r["key"], round(r["score"], 9)) for r in df.collect())
     want = rows(every)
-    for prune_from in (0, 10**9):
-        assert rows(retrieval.best_keyword_scores(index, asked, "q", "text", 4, prune_from)) == want
+    for seeds in (1, 3, 10**9):
+        monkeypatch.setattr(index_module, "SEED_BLOCKS", seeds)
+        report = {}
+        assert rows(retrieval.best_keyword_scores(index, asked, "q", "text", 4, report)) == want
+        assert report["read"] < report["blocks"] if seeds == 1 else report["read"] <= report["blocks"]
 
 
 def test_numbers_over_ranges(spark):
