@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions import numbers, payload, text
-from ..operators import chunks, evaluation, privacy, retrieval, validation
+from ..operators import chunks, evaluation, fusion, privacy, retrieval, validation, vectors
 from ..session import table
 from ..storage import spread
 from . import sql_texts
@@ -137,10 +137,10 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT qid, key AS vec_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 4""",
 )
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _vectors(spark, sf_dir)
-    questions = vectors.filter("key % 100 = 0").select(F.col("key").alias("qid"), "vector")
-    rows = retrieval.best(retrieval.dense_scores(vectors, questions), 4)
-    return rows.select("qid", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    rows = _vectors(spark, sf_dir)
+    asked = rows.filter("key % 100 = 0").select(F.col("key").alias("qid"), "vector")
+    found = vectors.nearest(vectors.vector_blocks(rows), asked, 4)
+    return found.select("qid", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 HYBRID = f"""
@@ -153,12 +153,9 @@ hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    keyword = retrieval.keyword_scores(_index(spark, sf_dir), questions, "item_id", "text").select("qid", "key", "score")
     passages = docs.select(F.col("doc_id").alias("key")).join(_vectors(spark, sf_dir), "key", "left")
     asked = questions.select(F.col("item_id").alias("qid")).join(_vectors(spark, sf_dir).withColumnRenamed("key", "qid"), "qid", "left")
-    dense = retrieval.dense_scores(passages, asked)
-    whole = dense.select("qid", "key", "ord").join(keyword, ["qid", "key"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return retrieval.fused(whole, dense)
+    return fusion.hybrid_passages(_index(spark, sf_dir), questions, "item_id", "text", vectors.vector_blocks(passages), asked, 4)
 
 
 @query("hybrid_rrf_topk", f"WITH {BM25}, {HYBRID} SELECT qid, key AS doc_id, rank, round(score, 6) AS score, round(keyword_score, 6) AS keyword_score FROM hybrid WHERE rank <= 4")
