@@ -115,3 +115,73 @@ def test_long_texts_with_many_spans_and_odd_rows(spark):
     df = spark.createDataFrame([(None, TEXTS[0]), (1, TEXTS[0]), (1, TEXTS[0])], "doc_id long, text string")
     rows = secrets.scan_documents(df).collect()
     assert len(rows) == 3 and len({r["spans"] for r in rows}) == 1 and {r["doc_id"] for r in rows} == {None, 1}
+
+
+def identifiers():
+    """Names of this package's and the standard library's source, of ten characters or more; half of those that are tested are of 20 or more."""
+    import inspect
+    import json
+    import logging
+    from pathlib import Path
+
+    sources = [p.read_text() for p in Path(secrets.__file__).parent.parent.rglob("*.py")] + [inspect.getsource(m) for m in (json, logging, random, base64, inspect)]
+    names = sorted({n for s in sources for n in re.findall(r"[A-Za-z_][A-Za-z0-9_]{9,}", s)})
+    long_ = [n for n in names if len(n) >= 20]
+    return long_ * (len(names) // len(long_)) + names
+
+
+def test_recall_beside_other_identifiers(spark):
+    """However many other names a text has: limits come from the table, and a run meets those of its own kind alone."""
+    rng, names, rows, tokens = random.Random(13), identifiers(), [], {}
+    for name in ("HEX", "base32", "base36", "BASE36", "base62", "base64", "base64url"):
+        alphabet = next(e.alphabet for e in secrets.ENCODINGS if e.name == name)
+        for size in (24, 32):
+            for others in (0, 20, 100):
+                for _ in range(60):
+                    token = "".join(rng.choice(alphabet) for _ in range(size))
+                    words = rng.choices(names, k=others)
+                    at = rng.randrange(others + 1)
+                    text = "see " + " = 1\n".join([*words[:at], f"'{token}'", *words[at:]])
+                    start = text.index(f"'{token}'") + 1
+                    tokens[len(rows)] = (name, size, others, start, start + size)
+                    rows.append((len(rows), text))
+    found, false = {}, 0
+    for r in secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        name, size, others, start, end = tokens[r["doc_id"]]
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in filter(None, r["spans"].split(",")))]
+        found.setdefault((name, size, others), []).append(any(s < end and e > start for _, s, e in spans))
+        false += sum(k == "random" and not (s < end and e > start) for k, s, e in spans)
+    shares = {k: sum(v) / len(v) for k, v in found.items()}
+    print({k: round(v, 2) for k, v in shares.items()}, false)
+    for (name, size, others), share in shares.items():
+        assert share >= (0.9 if size == 24 else 0.95) - 0.034, (name, size, others, share)  # two of 60
+    for size in (24, 32):
+        for others in (0, 20, 100):
+            mean = [s for (_, n, o), s in shares.items() if (n, o) == (size, others)]
+            assert sum(mean) / len(mean) >= 0.93
+    assert false <= 0.02 * len(rows)
+
+
+def test_step_up_by_stratum():
+    import numpy as np
+
+    laws, shares = secrets._laws()
+    law = lambda m, d: np.round(shares[np.abs(laws - (m, d)).sum(1).argmin()] * 10_000)
+    random_ = secrets.places_of_random("base62", 32)
+    for m, d in ((0.0, 1.0), (1.0, 0.6)):
+        mean, deviation, n = secrets.fit_null(law(m, d) + np.round(np.array(random_) * 500), random_)
+        assert abs(mean - m) < 0.15 and abs(deviation - d) < 0.1 and abs(n - 10_000) < 300
+    bulk = lambda n, m: [int(x) for x in law(m, 0.6)[:6] * n / 10_000]
+    assert secrets.largest_limit({}, bulk(100, 0.0)) == 0
+    assert 0 < secrets.largest_limit({60: 50}, bulk(1000, 0.0)) < 0.02 and secrets.largest_limit({12: 1}, [0] * 6) > 0  # one run on its own
+    assert secrets.largest_limit({40: 200}, bulk(3000, 1.4)) < secrets.largest_limit({40: 200}, bulk(3000, 0.0))  # structured text nearer to random
+    kind = secrets.stratum("base64url", "abc_def==")
+    limits = secrets.Limits({kind: 1e-3}, {kind: 30.0})
+    assert kind == "base64url:03" and limits.keeps(kind, 60, 1.9e-3) and not limits.keeps(kind, 30, 1.1e-3) and limits.keeps("new", 30, 0.009)
+
+
+def test_limits_of_a_table(spark):
+    none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert secrets.fit_limits(none) == secrets.Limits({}, {}) and secrets.scan_documents(none).count() == 2
+    words = spark.createDataFrame([(i, f"see getDocumentFactoryBy{n}Internal there") for i, n in enumerate(["Name", "Id", "Date", "Owner"] * 20)], "doc_id long, text string")
+    assert sum(r["n_random"] for r in secrets.scan_documents(words).collect()) == 0
