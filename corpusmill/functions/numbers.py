@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,5 +62,45 @@ def safe_rate(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two that have half its digits each."""
+    c = x * F.lit(134217729.0)
+    high = c - (c - x)
+    return high, x - high
+
+
+def _nearest(x: Column, power: float, even: Column) -> Column:
+    """x times a power of ten as the nearest whole number, from the product and its exact error; a tie goes up where even plus the number below is odd."""
+    a, b = _halves(x)
+    c, d = (F.lit(v) for v in _split(power))
+    product = x * F.lit(power)
+    error = b * d - (((product - a * c) - b * c) - a * d)
+    whole = F.floor(product).cast("double")
+    rest = product - whole
+    odd = F.pmod(whole + even, F.lit(2.0)) == 1
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    return whole + F.when(up, 1.0).otherwise(0.0)
+
+
+def round_half_even(x: Column, digits: int = 0) -> Column:
+    """A double rounded to digits places (0 to 15), a tie to the even side, by its exact binary value: 2.675 lies under the tie and gives 2.67, where
+    its shortest decimal form would give 2.68. Where the scaled value has too many digits for a double, whole and rest are scaled apart and put
+    together as decimals."""
+    x, power = x.cast("double"), float(10**digits)
+    plain = _nearest(x, power, F.lit(0.0)) / F.lit(power)
+    below = F.floor(x).cast("double")
+    rest = _nearest(x - below, power, below if digits == 0 else F.lit(0.0)).cast("decimal(16,0)") * F.lit(Decimal(1).scaleb(-digits))
+    apart = (below.cast("decimal(20,0)") + rest).cast("double")
+    rounded = F.when(F.abs(x * F.lit(power)) < F.lit(2.0**52), plain).otherwise(apart)
+    signed = F.when((rounded == 0) & (x < 0), F.lit(-0.0)).otherwise(rounded)
+    return F.when(F.isnan(x) | (F.abs(x) >= F.lit(2.0**53)), x).otherwise(signed)
+
+
+def _split(power: float) -> tuple[float, float]:
+    c = power * 134217729.0
+    high = c - (c - power)
+    return high, power - high
+
+
 def seconds_of_nanoseconds(x: Column) -> Column:
-    return F.round(x / F.lit(1e9), 2)
+    return round_half_even(x / F.lit(1e9), 2)

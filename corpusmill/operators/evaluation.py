@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import links
+
 #: The buckets of the status histogram, in order.
 STATUSES = ("ok", "auto_trimmed", "needs_review", "skipped", "failed")
 
@@ -83,11 +85,22 @@ def missing_fields(passages: DataFrame, fields: tuple[str, ...] = ("doc", "secti
 def broken_links(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """path, link of relative links in pages(path, text) whose target (without its fragment) is not among targets(path)."""
     found = pages.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\]\((?!https?://|mailto:|#)([^)\s]+)\)"), 1)).alias("link"))
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    full = F.concat(folder, F.substring_index("link", "#", 1))
-    for _ in range(4):
-        full = F.regexp_replace(F.regexp_replace(full, r"(^|/)\./", "$1"), r"(^|/)[^/.][^/]*/\.\./", "$1")
-    return found.withColumn("target", full).join(targets.select(F.col("path").alias("target")), "target", "left_anti").select("path", "link")
+    target = links.resolved(F.col("path"), links.without_fragment(F.col("link")))  # above the top nothing is found, however deep the link
+    return found.withColumn("target", target).join(targets.select(F.col("path").alias("target")), "target", "left_anti").select("path", "link")
+
+
+def page_links(pages: DataFrame, key: str, address: str, reference: str) -> DataFrame:
+    """key, link, target of pages(key, address, an array of references): where each leads from its page, without a fragment."""
+    rows = pages.select(key, F.col(address).alias("_base"), F.explode(reference).alias("link"))
+    return rows.select(key, "link", links.resolved(F.col("_base"), F.col("link")).alias("target"))
+
+
+def link_audit(pages: DataFrame, key: str, address: str, reference: str) -> DataFrame:
+    """state, address: of pages that no page links to (unlinked), and of targets that are no page (missing), once each; fragments don't count."""
+    there = pages.select(links.without_fragment(F.col(address)).alias("address")).distinct()
+    asked = page_links(pages, key, address, reference).select(F.col("target").alias("address")).distinct()
+    state = lambda a, b, name: a.join(b, "address", "left_anti").select(F.lit(name).alias("state"), "address")
+    return state(there, asked, "unlinked").unionByName(state(asked, there, "missing"))
 
 
 def unknown_handoffs(agents: DataFrame) -> DataFrame:

@@ -271,6 +271,51 @@ def documents_without_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang").join(held.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("documents"))
 
 
+#: A page's references: those in it, and each of them from some folders further up, up to ten.
+REFERENCES = """regexp_extract_all(html, 'href="([^"]*)"', 1)"""
+RESOLVED = f"""p AS (SELECT page_id, url, unnest({REFERENCES}) AS h FROM pages),
+r AS (SELECT page_id, url, unnest([h, repeat('../', length(h) % 11) || './x/' || h, '?q=' || h, '#' || h, '//other.example/a/../b' || h]) AS link FROM p),
+f AS (SELECT *, regexp_extract(link, '^(//[^/?#]*)?([^?#]*)(\\?[^#]*)?', 1) AS host, regexp_extract(link, '^(//[^/?#]*)?([^?#]*)(\\?[^#]*)?', 2) AS path, regexp_extract(link, '^(//[^/?#]*)?([^?#]*)(\\?[^#]*)?', 3) AS query,
+  regexp_extract(url, '^([^:]+:)(//[^/?#]*)([^?#]*)(\\?[^#]*)?', 1) AS s, regexp_extract(url, '^([^:]+:)(//[^/?#]*)([^?#]*)(\\?[^#]*)?', 2) AS a, regexp_extract(url, '^([^:]+:)(//[^/?#]*)([^?#]*)(\\?[^#]*)?', 3) AS b,
+  regexp_extract(url, '^([^:]+:)(//[^/?#]*)([^?#]*)(\\?[^#]*)?', 4) AS q FROM r),
+g AS (SELECT *, CASE WHEN host <> '' OR starts_with(path, '/') THEN path ELSE coalesce(nullif(regexp_replace(b, '[^/]*$', ''), ''), '/') || path END AS whole FROM f),
+d AS (SELECT *, string_split(substr(whole, 2), '/') AS n FROM g),
+e AS (SELECT *, list_reduce(list_prepend('', n), lambda x, y: CASE y WHEN '.' THEN x WHEN '..' THEN regexp_replace(x, '/[^/]*$', '') ELSE x || '/' || y END) AS done FROM d),
+t AS (SELECT page_id, link, s || CASE WHEN host <> '' THEN host ELSE a END || CASE WHEN host = '' AND path = '' THEN b WHEN n[-1] IN ('.', '..') THEN done || '/' WHEN done = '' THEN '/' ELSE done END
+  || CASE WHEN host = '' AND path = '' AND query = '' THEN q ELSE query END AS target FROM e)"""
+
+
+def _referring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    up = lambda h: F.concat(F.repeat(F.lit("../"), F.length(h) % 11), F.lit("./x/"), h)
+    every = lambda h: F.array(h, up(h), F.concat(F.lit("?q="), h), F.concat(F.lit("#"), h), F.concat(F.lit("//other.example/a/../b"), h))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.flatten(F.transform(found, every)).alias("refs"))
+
+
+@query("resolved_links", f"WITH {RESOLVED} SELECT page_id, link, target FROM t")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.page_links(_referring(spark, sf_dir), "page_id", "url", "refs")
+
+
+@query(
+    "link_audit",
+    f"""WITH {RESOLVED}, u AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS address FROM pages), w AS (SELECT DISTINCT target AS address FROM t)
+    SELECT 'unlinked' AS state, address FROM (SELECT * FROM u EXCEPT SELECT * FROM w) UNION ALL SELECT 'missing', address FROM (SELECT * FROM w EXCEPT SELECT * FROM u)""",
+)
+def link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.link_audit(_referring(spark, sf_dir), "page_id", "url", "refs")
+
+
+@query(
+    "half_even_rounding",
+    "SELECT l_orderkey, l_linenumber, round_even(CAST(round(l_extendedprice * 100) AS BIGINT) / 8.0, 0) AS eighths FROM lineitem",
+)
+def half_even_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eighths of prices in cents, one in eight of which is a tie."""
+    eighths = F.round(F.col("l_extendedprice") * 100).cast("long") / F.lit(8.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.round_half_even(eighths).alias("eighths"))
+
+
 @query(
     "zip_by_position",
     """SELECT a.conv_id, a.turn AS question_turn, b.turn AS answer_turn FROM
@@ -473,8 +518,8 @@ def pages_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def union_of_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 9).alias("v"), F.count("*").alias("n"))
-    place = lambda c: F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc(c), "user_id")) - 1
-    both = base.select("event_type", "user_id", place("v").alias("r")).unionAll(base.select("event_type", "user_id", place("n").alias("r")))
+    place = lambda c: numbered(base, [F.desc(c), F.col("user_id")], "n1", "event_type").select("event_type", "user_id", (F.col("n1") - 1).alias("r"))
+    both = place("v").unionAll(place("n"))
     scores = both.groupBy(F.col("event_type").alias("qid"), F.col("user_id").alias("ord")).agg(F.sum(numbers.reciprocal_rank(F.col("r"))).alias("score"))
     top = retrieval.best(scores, 5)
     return top.select(F.col("qid").alias("event_type"), F.col("ord").alias("user_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
