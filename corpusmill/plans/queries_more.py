@@ -9,9 +9,9 @@ from ..catalogue import query
 from ..functions import numbers, payload, text
 from ..operators import chunks, evaluation, patterns, retrieval, tables, validation
 from ..session import table
-from ..storage import numbered, spread
+from ..storage import numbered, spread, stored
 from . import loops, models, sql_texts
-from .queries import BM25, OBJECTIVE, REASON, count_sql
+from .queries import BM25, GATE, OBJECTIVE, REASON, count_sql
 
 #: Orders and their lines as documents with a heading, some text and a pipe table, for the parsers.
 MARKDOWN = """
@@ -419,15 +419,44 @@ def grounded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select("qid", "n_passages", F.md5(retrieval.grounded_prompt(F.col("text"), F.col("sources")).cast("binary")).alias("digest"))
 
 
+#: What is on record as the answers to each question: a conversation's turns with marks, by hash of the question.
+KIND = f"({sql_texts.md5_number('CAST(item_id AS VARCHAR)')}) % 5"
+ANSWERS = f"""k AS (SELECT b.item_id AS qid, {KIND} AS kind, coalesce(c1.text, '') AS one, coalesce(c2.text, '') AS two FROM benchmark b
+  LEFT JOIN conversations c1 ON c1.conv_id = b.item_id AND c1.turn = 1 LEFT JOIN conversations c2 ON c2.conv_id = b.item_id AND c2.turn = 3)"""
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prompt_id, attempt, reply: answers that cite, cite at the second attempt, cite what isn't there, decline; or none at all."""
+    turns = table(spark, sf_dir, "conversations").where("turn IN (1, 3)").select(F.col("conv_id").alias("item_id"), ((F.col("turn") + 1) / 2).cast("int").alias("attempt"), F.col("text").alias("said"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
+    said, kind, attempt = F.coalesce("said", F.lit("")), models.md5_number(F.col("item_id").cast("string")) % 5, F.col("attempt")
+    reply = (
+        F.when(kind == 0, F.concat(said, F.lit(" [S1]"))).when((kind == 1) & (attempt == 1), said).when(kind == 1, F.concat(said, F.lit(" [S2]")))
+        .when(kind == 2, F.concat(said, F.lit(" [S1] [S9]"))).when(kind == 3, "INSUFFICIENT_EVIDENCE")
+    )
+    return asked.join(turns, ["item_id", "attempt"], "left").select(F.col("item_id").alias("prompt_id"), "attempt", reply.alias("reply"))
+
+
 @query(
     "answers_with_retry",
-    f"SELECT item_id AS qid, 'answered' AS status, CASE WHEN ({sql_texts.md5_number('CAST(item_id AS VARCHAR)')}) % 4 = 0 THEN 2 ELSE 1 END AS attempts, 'The sources say so [S1].' AS answer FROM benchmark",
+    f"""WITH {BM25}, {GATE}, {ANSWERS}, g AS (SELECT qid, CASE WHEN best < 5.0 OR coverage < 0.55 THEN 'refused_no_evidence' END AS refused FROM gates)
+    SELECT qid, coalesce(refused, CASE kind WHEN 2 THEN 'refused_failed_verification' WHEN 3 THEN 'refused_by_model' WHEN 4 THEN 'error' ELSE 'answered' END) AS status,
+      CASE WHEN refused IS NOT NULL THEN 0 WHEN kind IN (0, 3) THEN 1 ELSE 2 END AS attempts,
+      CASE WHEN refused IS NULL AND kind = 0 THEN one || ' [S1]' WHEN refused IS NULL AND kind = 1 THEN two || ' [S2]' END AS answer FROM g JOIN k USING (qid)""",
 )
 def answers_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    check = lambda reply: retrieval.citation_check(reply, F.lit(4))
-    rounds = loops.ask_until(items, "qid", retrieval.grounded_prompt(F.col("text"), F.lit("[S1] a"), F.col("complaint")), check, models.mock_answer(), most=2)
-    return loops.answer_status(rounds, items.select("qid", F.lit("passed").alias("gate"))).select("qid", "status", "attempts", "answer")
+    """The whole way of a question set: ranked passages, the gate, prompts over their texts, recorded answers, checks of what they cite, a second
+    attempt with the complaint, and how each question ended."""
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    index = retrieval.index_of(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+    found = retrieval.top_passages(index, items, "item_id", "text")
+    gates = stored(retrieval.gate(index, items, "item_id", "text", found), "gates")
+    texts = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("doc"), F.col("lang").alias("section"), text.prefix(F.col("text"), 1000).alias("text"))
+    asked = items.select(F.col("item_id").alias("qid"), F.col("text").alias("question")).join(retrieval.sources_block(found, texts), "qid")
+    tasks = stored(asked.join(gates.where("gate = 'passed'").select("qid"), "qid"), "grounded")
+    prompt = retrieval.grounded_prompt(F.col("question"), F.col("sources"), F.col("complaint"))
+    rounds = loops.ask_until(tasks, "qid", prompt, lambda reply: retrieval.citation_check(reply, F.lit(retrieval.TOP_K)), models.replay(_recorded(spark, sf_dir)), most=2)
+    return loops.answer_status(rounds, gates).select("qid", "status", "attempts", "answer")
 
 
 _TRIED = "CASE attempt WHEN 1 THEN 'Learners will understand ' ELSE 'Explain ' END || topic || CASE attempt WHEN 1 THEN '' ELSE '.' END"
