@@ -115,6 +115,23 @@ def foreign_urls(files: DataFrame) -> DataFrame:
     return found.filter(~F.col("url").rlike(r"(?i)^https?://(127\.0\.0\.1|localhost|0\.0\.0\.0)(:\d+)?"))
 
 
+def field_shapes(rows: DataFrame, key: str, json: str, *group: str) -> DataFrame:
+    """The group's columns, n, malformed, least_malformed (the least key of a row that doesn't parse; null if all do), shape: the fields and types of
+    all texts in the group that parse, merged, as DDL of a VARIANT; a text that is null is malformed. One partial aggregation, however large a group."""
+    parsed = rows.select(*group, F.col(key).alias("_key"), F.try_parse_json(json).alias("_v"))
+    bad = F.col("_v").isNull()
+    return parsed.groupBy(*group).agg(
+        F.count("*").alias("n"), F.count_if(bad).alias("malformed"), F.min(F.when(bad, F.col("_key"))).alias("least_malformed"), F.schema_of_variant_agg("_v").alias("shape")
+    )
+
+
+def drifted(shapes: DataFrame, by: str, over: str) -> DataFrame:
+    """shapes with drifted: whether a group's shape differs from that of the group before it in over, among those with the same by. Windows hold one
+    row a group."""
+    before = F.lag("shape").over(Window.partitionBy(by).orderBy(over))
+    return shapes.withColumn("drifted", F.coalesce(F.col("shape") != before, F.lit(False)))
+
+
 def bad_json(files: DataFrame) -> DataFrame:
     """path of files(path, text) that don't parse as JSON."""
     return files.filter(F.try_parse_json("text").isNull()).select("path")

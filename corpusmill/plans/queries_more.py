@@ -306,6 +306,27 @@ def link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.link_audit(_referring(spark, sf_dir), "page_id", "url", "refs")
 
 
+#: A field's type as a VARIANT has it: whole numbers, else strings; of both together it is one that holds any.
+_SHAPED = """CASE WHEN event_id % 7 = 3 THEN replace(props, '"k"', '"j"') WHEN event_id % 5 = 1 THEN replace(props, ': ', ': "x') ELSE props END"""
+
+
+@query(
+    "props_shape_by_day",
+    f"""WITH e AS (SELECT event_id, event_type, CAST(ts AS DATE) AS day, {_SHAPED} AS p FROM events),
+    v AS (SELECT event_type, day, event_id, json_valid(p) AS ok, p FROM e),
+    f AS (SELECT event_type, day, unnest(json_keys(p)) AS k, p FROM v WHERE ok),
+    t AS (SELECT event_type, day, k, CASE WHEN count(DISTINCT json_type(p, '$.' || k) = 'VARCHAR') > 1 THEN 'VARIANT' WHEN bool_and(json_type(p, '$.' || k) = 'VARCHAR') THEN 'STRING' ELSE 'BIGINT' END AS kind FROM f GROUP BY ALL),
+    s AS (SELECT event_type, day, 'OBJECT<' || string_agg(k || ': ' || kind, ', ' ORDER BY k) || '>' AS shape FROM t GROUP BY ALL),
+    n AS (SELECT event_type, day, count(*) AS n, count(*) FILTER (NOT ok) AS malformed, min(event_id) FILTER (NOT ok) AS least_malformed FROM v GROUP BY ALL)
+    SELECT event_type, day, n, malformed, least_malformed, coalesce(shape, 'VOID') AS shape,
+      coalesce(coalesce(shape, 'VOID') <> lag(coalesce(shape, 'VOID')) OVER (PARTITION BY event_type ORDER BY day), false) AS drifted FROM n LEFT JOIN s USING (event_type, day)""",
+)
+def props_shape_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields and types of events' properties by type and day, and where they change. Some events get another field, some a text that breaks off."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.to_date("ts").alias("day"), F.expr(_SHAPED).alias("p"))
+    return evaluation.drifted(evaluation.field_shapes(rows, "event_id", "p", "event_type", "day"), "event_type", "day")
+
+
 @query(
     "half_even_rounding",
     "SELECT l_orderkey, l_linenumber, round_even(CAST(round(l_extendedprice * 100) AS BIGINT) / 8.0, 0) AS eighths FROM lineitem",

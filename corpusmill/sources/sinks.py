@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.payload import META_FIELDS
 from ..functions.text import NOT_STATED, escape_cell, fill_template, flatten, html_escape, shortened, title_of_name, word_count
 from ..functions.numbers import parse_number
+from . import export
 
 
 def write_passages(passages: DataFrame, path: str) -> None:
@@ -23,6 +24,20 @@ def export_index(passages: DataFrame, built_at: str, source: str, size: int, ove
     return rows.select(F.to_json(F.struct(*head, "chunks"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_index_document(passages: DataFrame, path: str, built_at: str, source: str, size: int, overlap: int, embedding_model: str | None = None) -> None:
+    """The whole index as one JSON file, by document and id: the header's fields, then all passages as the list chunks. Tasks write the parts, so memory
+    doesn't grow with the index; the documents are those that chunks name."""
+    fields = [c for c in ("id", "doc", "title", "section", "text", "words", "embedding") if c in passages.columns]
+    head = {"built_at": built_at, "source_folder": source, "embedding_model": embedding_model, "target_words": size, "overlap_words": overlap}
+    rows = passages.select(*fields).repartitionByRange("doc", "id").sortWithinPartitions("doc", "id")
+    export.write_json(rows, path, head, "chunks")
+
+
+def write_index_file(files: DataFrame, path: str) -> None:
+    """The summary index as one CSV file that spreadsheet programs open: a mark of UTF-8, one header, keywords joined, nulls empty."""
+    export.write_csv(files.withColumn("keywords", F.array_join("keywords", "; ")) if dict(files.dtypes).get("keywords", "").startswith("array") else files, path)
+
+
 def append_log(rows: DataFrame, path: str, time: str = "time") -> None:
     """Rows as JSON lines, in a folder a month; what is there stays."""
     rows.withColumn("yyyymm", F.date_format(F.col(time).cast("timestamp"), "yyyyMM")).write.mode("append").partitionBy("yyyymm").json(path)
