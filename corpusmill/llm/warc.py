@@ -12,7 +12,9 @@ import base64
 import gzip
 import hashlib
 import json
+import time
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from .archives import ZipBuilder, data_offset, directory, read_member
 from .media import ByteRange
-from .runtime import SharedFile, bound_batches, listed, shared_folder, stored, write_new
+from .runtime import SharedFile, bound_batches, listed, marked, shared_folder, stored, write_new
 
 DATA, INDEX, SUFFIX = "archive/data.warc.gz", "indexes/index.cdxj", ".wacz"
 #: Compressed bytes at which a task begins another package, and that a partition reads.
@@ -74,13 +76,17 @@ def parse_record(data: bytes) -> dict[str, str | bytes]:
 def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages with refers_to: of pages with equal payloads of at least least_bytes, all but the one with the largest page_id refer to it.
     A null html is the empty payload. Rows that share the largest page_id are all kept; a null page_id counts as smaller than any other, and
-    where a group has none but null, all are kept. Only digests are grouped (after partial aggregation); the join may split a digest that
+    where a group has none but null, all are kept. Only digests are grouped, and only
+    rows whose digest others share (and few more, as a set of bits tells them) meet the groups; no other html is moved. The join may split a digest that
     very many pages share."""
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= least_bytes
     groups = keyed.filter(large).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1 and kept is not null")
-    joined = keyed.join(groups.select("digest", "kept"), "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") != F.col("kept"), F.col("kept").isNotNull()), F.col("kept")).alias("refers_to"))
+    groups = stored(groups.select("digest", "kept"), "shared-digests")
+    rows = marked(keyed, F.xxhash64("digest"), groups.select(F.xxhash64("digest").alias("k")))
+    alone = rows.filter("not _marked").select("page_id", "url", "html", F.lit(None).cast(dict(pages.dtypes)["page_id"]).alias("refers_to"))
+    refers = F.when(F.coalesce(F.col("page_id") != F.col("kept"), F.col("kept").isNotNull()), F.col("kept")).alias("refers_to")
+    return alone.unionByName(rows.filter("_marked").join(groups, "digest", "left").select("page_id", "url", "html", refers))
 
 
 def write_warc(pages: DataFrame, folder: str, zip64: bool = False) -> DataFrame:
@@ -121,7 +127,8 @@ def write_warc(pages: DataFrame, folder: str, zip64: bool = False) -> DataFrame:
 
 
 class WarcSource(DataSource):
-    """Records of the packages in a folder. Options: path; manifest, the writer's stored rows (without it, all packages in the folder); rangeBytes."""
+    """Records of the packages in a folder. Options: path; manifest, the writer's stored rows (without it, all packages in the folder); rangeBytes;
+    retries, of one record."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,11 +144,28 @@ class WarcSource(DataSource):
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.manifest, self.range_bytes = options["path"].rstrip("/"), options.get("manifest"), int(options.get("rangeBytes", RANGE_BYTES))
+        self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
         found = [ByteRange(uri, lo, min(size, lo + self.range_bytes)) for uri, size in listed(self.path, SUFFIX, self.manifest) for lo in range(0, size, self.range_bytes)]
         return found or [ByteRange("", 0, 0)]
 
+    def fetch(self, uri: str, file: SharedFile, offset: int, length: int) -> tuple[SharedFile, dict[str, str | bytes]]:
+        """(file, record): one record, checked against its digest; each time on a fresh handle after the first."""
+        for attempt in range(self.retries + 1):
+            try:
+                r = parse_record(gzip.decompress(file.read_at(offset, length)))
+                if r["warc-type"] == "response" and (digest_of(r[""]) != r["warc-payload-digest"].removeprefix("sha1:") or len(r[""]) != int(r["warc-full-payload-length"])):
+                    raise ValueError("the payload doesn't match its digest")
+                return file, r
+            except (OSError, EOFError, ValueError, zlib.error) as e:
+                if attempt == self.retries:
+                    raise ValueError(f"{uri}, record at {offset}: {e}") from e
+                file.close()
+                time.sleep(0.05 * (attempt + 1))
+                file = SharedFile(uri)
+        raise AssertionError
+
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.uri:
             return
@@ -152,10 +176,8 @@ class WarcReader(DataSourceReader):
             place = json.loads(line[line.rindex("{") :])
             if not partition.lo <= start + place["offset"] < partition.hi:
                 continue
-            r = parse_record(gzip.decompress(file.read_at(start + place["offset"], place["length"])))
+            file, r = self.fetch(partition.uri, file, start + place["offset"], place["length"])
             page, digest, n = r["warc-page-id"], r["warc-payload-digest"].removeprefix("sha1:"), int(r["warc-full-payload-length"])
-            if r["warc-type"] == "response" and (digest_of(r[""]) != digest or len(r[""]) != n):
-                raise ValueError(f"{partition.uri}, record at {place['offset']}: the payload doesn't match its digest")
             refers = r.get("warc-refers-to-page-id")
             rows.append((int(page) if page else None, r["warc-target-uri"], n, digest, r["warc-type"], int(refers) if refers else None))
             if len(rows) >= 4096:

@@ -140,3 +140,33 @@ def test_warc_ties_nulls_and_threshold(spark):
     assert got == sorted([(1, "x", None), (1, "x", None), (None, "x", 1), (None, "y", None), (None, "y", None)], key=str)
     assert warc.deduplicated(df, least_bytes=2).filter("refers_to is not null").count() == 0
     assert warc.deduplicated(df.limit(0)).count() == 0
+
+
+def test_only_shared_payloads_are_moved(spark):
+    df = spark.createDataFrame([(i, f"u{i}", "same" if i % 5 == 0 else f"page {i}") for i in range(60)], "page_id long, url string, html string")
+    out = warc.deduplicated(df)
+    assert {(r["page_id"], r["refers_to"]) for r in out.collect()} == {(i, 55 if i % 5 == 0 and i != 55 else None) for i in range(60)}
+    plan = warc.deduplicated(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and plan.count("Join LeftOuter") >= 2
+
+
+def test_a_record_is_read_again(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/again"
+    df = spark.createDataFrame([(1, "u", "one"), (2, "v", "two")], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.deduplicated(df).coalesce(1), folder).collect()
+    reader, whole = warc.WarcReader({"path": folder, "retries": "2"}), warc.SharedFile.read_at
+    left = {"bad": 2}
+
+    def flaky(self, offset, length):
+        data = whole(self, offset, length)
+        if data[:2] == b"\x1f\x8b" and left["bad"]:
+            left["bad"] -= 1
+            return data[: length // 2] + bytes(length - length // 2)
+        return data
+
+    monkeypatch.setattr(warc.SharedFile, "read_at", flaky)
+    rows = [b.num_rows for p in reader.partitions() for b in reader.read(p)]
+    assert sum(rows) == 2 and left["bad"] == 0
+    left["bad"] = 100
+    with pytest.raises(ValueError, match="record at"):
+        [b for p in reader.partitions() for b in reader.read(p)]
