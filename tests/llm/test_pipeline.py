@@ -44,7 +44,7 @@ def test_run_and_names(spark):
 def test_queries_are_registered():
     from corpusmill.llm.queries import ORACLE_SQL, QUERIES
 
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLE_SQL) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_stages_on_empty_and_awkward_tables(spark, awkward):
