@@ -35,6 +35,15 @@ def test_pseudonyms_last(spark, tmp_path):
     assert kept == {("EMAIL", "b@y.org"): 1, ("EMAIL", "a@y.org"): 2, ("EMAIL", "new@y.org"): 3, ("HANDLE", "@handle_b"): 1, ("HANDLE", "@other_one"): 2}
 
 
+def test_numbers_beside_each_other_keep_their_plus_signs(spark):
+    """One space between two numbers belongs to neither, so the second one begins with its plus sign, as the reference's rule has it."""
+    content = "94.182.225.142 +1 (705) 555-1902 and 4387393285946913 +1 (438) 555-5817"
+    want = re.findall(r"(?<![\w.])\+?\d[\d\s().-]{7,}\d(?![\w.])", content)
+    assert want[1::2] == ["+1 (705) 555-1902", "+1 (438) 555-5817"]
+    assert spark.createDataFrame([(content,)], "t string").select(privacy.hits(F.col("t"), "PHONE")).first()[0] == want
+    assert scrubbed(spark, [(1, content)]) == [(1, "[PHONE_1] [PHONE_2] and [PHONE_3] [PHONE_4]")]
+
+
 def test_dry_run_keeps_nothing(spark, tmp_path):
     keep = f"file://{tmp_path}/names"
     docs = spark.createDataFrame([(1, "b@y.org b@y.org")], "doc long, text string")
