@@ -2,22 +2,22 @@
 
 The k first of one ranking alone score 1 / (c + k - 1) at least. A passage that stands behind place 2 (c + k - 1) - c in both rankings scores less, so
 the passages before that place in either are all that matter, however many there are. Their other rank is how many passages come before them there:
-postings are counted in a pass over the question set's hits, vectors block by block.
+both are counted block by block, where passages and vectors lie; no row is made for each passage and question.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import RRF, reciprocal_rank
 from ..storage import stored
 from . import vectors
-from .index import DIGITS, Index, best, keyword_scores
+from .index import DIGITS, Asked, Index, ask, best_keyword_scores, keyword_scores, scan
 
 
 def depth(k: int, constant: int = RRF) -> int:
@@ -38,69 +38,56 @@ def _slices(candidates: DataFrame, size: int) -> Iterator[list[tuple]]:
         yield out
 
 
-def keyword_places(hits: DataFrame, passages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """qid, key, rank0, score, ord: where candidates(qid, key, ord, score) stand among all passages(ord) by keyword score, from 0, ties by ord (both
-    long). hits(qid, ord, score) are the passages that share a term; a candidate without hits has score 0 and stands behind all of them. Each slice
-    of questions is one pass over the hits."""
-    spark, out = hits.sparkSession, None
-    rounded = candidates.select("qid", "key", F.col("ord").cast("long").alias("ord"), F.round(F.coalesce("score", F.lit(0.0)), DIGITS).alias("score"))
+def keyword_places(asked: Asked, candidates: DataFrame, qid_type: str) -> DataFrame:
+    """qid, key, rank0, score, ord: where candidates(qid, key, ord, score) stand among all passages by keyword score, from 0, ties by ord (both long).
+    Places go by rounded scores, but score is as it was, as rounding twice may change its last digit. A candidate without a common term has score 0, as all such passages have. Each slice of questions is one pass over the passages."""
+    spark, out = candidates.sparkSession, None
+    whole = F.coalesce("score", F.lit(0.0))
+    rounded = candidates.select("qid", "key", F.col("ord").cast("long").alias("ord"), F.round(whole, DIGITS).alias("score"), whole.alias("whole"))
     rounded = stored(rounded, "keyword-candidates")
-    base = hits.select("qid", F.col("ord").cast("long").alias("ord"), F.round("score", DIGITS).alias("score"))
     for part in _slices(rounded, vectors.SLICE):
         lists: dict[int, list[tuple[float, int]]] = {}
         for qid, _, order, score in part:
             lists.setdefault(qid, []).append((-score, order))
         shared = spark.sparkContext.broadcast({q: sorted(set(c)) for q, c in lists.items()})  # SLICE questions, twice the depth each
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            wanted = {q: (np.array([s for s, _ in c]), np.array([o for _, o in c], np.int64), np.zeros(len(c), np.int64)) for q, c in shared.value.items()}
-            for batch in batches:
-                q, order, score = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-                line = np.argsort(q, kind="stable")
-                starts = np.flatnonzero(np.diff(q[line], prepend=q[line[0]] - 1)) if len(line) else []
-                for a, b in zip(starts, [*starts[1:], len(line)]):
-                    mine = line[a:b]
-                    if (w := wanted.get(int(q[mine[0]]))) is None:
-                        continue
-                    found = vectors.better(w[0], w[1], -score[mine], order[mine])
-                    behind = w[0] == 0  # without hits: behind all hits, of which those before it in order are passages that don't come before it
-                    found[behind] = len(mine) - np.searchsorted(np.sort(order[mine]), w[1][behind])
-                    w[2][:] += found
-            for i, (s, o, n) in wanted.items():
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(o), pa.int64()), pa.array(o), pa.array(n)], names=["qid", "ord", "before"])
-
-        counted = base.mapInArrow(run, "qid long, ord long, before long")
-        orders = spark.sparkContext.broadcast(sorted({o for _, _, o, s in part if s == 0}))
-
-        def below(batches: Iterator[pa.RecordBatch], orders=orders) -> Iterator[pa.RecordBatch]:
-            at = np.array(orders.value, np.int64)
-            n = np.zeros(len(at), np.int64)
-            for batch in batches:
-                n += np.searchsorted(np.sort(batch.column(0).to_numpy(zero_copy_only=False)), at)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["ord", "below"])
-
-        all_below = passages.select(F.col("ord").cast("long").alias("ord")).mapInArrow(below, "ord long, below long").groupBy("ord").agg(F.sum("below").alias("below"))
-        mine = counted.groupBy("qid", "ord").agg(F.sum("before").alias("before")).join(all_below, "ord", "left")
+        def make(ids: list, shared=shared) -> tuple[Callable, Callable]:
+            wanted = [(np.array([s for s, _ in c]), np.array([o for _, o in c], np.int64), np.zeros(len(c), np.int64)) for c in (shared.value[q] for q in ids)]
+
+            def take(block: int, keys: list, orders: list, scores: np.ndarray) -> None:
+                order, score = np.array(orders, np.int64), -np.round(scores, DIGITS) + 0.0
+                for j, (s, o, n) in enumerate(wanted):
+                    n += vectors.better(s, o, score[:, j], order)
+
+            def end():
+                return [q for q, w in zip(ids, wanted) for _ in w[1]], [x for w in wanted for x in w[1].tolist()], [x for w in wanted for x in w[2].tolist()]
+
+            return take, end
+
+        # Questions without a term that any passage has are counted too: their passages all have 0.
+        ids = spark.createDataFrame([(q, "", 0.0) for q in lists], f"qid {qid_type}, term string, gain double")
+        gains = asked.gains.where(F.col("qid").isin(list(lists))).select("qid", "term", "gain").unionByName(ids)
+        counted = scan(replace(asked, gains=gains), asked.index.passages, f"qid {qid_type}, ord long, before long", make)
+        mine = counted.groupBy("qid", "ord").agg(F.sum("before").alias("rank0"))
         out = mine if out is None else out.unionByName(mine)
     if out is None:
-        return rounded.withColumn("rank0", F.lit(0).cast("long")).select("qid", "key", "rank0", "score", "ord")
-    rank0 = F.when(F.col("score") > 0, F.col("before")).otherwise(F.col("before") + F.coalesce("below", F.lit(0)))
-    return rounded.join(out, ["qid", "ord"]).select("qid", "key", rank0.alias("rank0"), "score", "ord")
+        out = rounded.select("qid", "ord", F.lit(0).cast("long").alias("rank0"))
+    return rounded.join(out, ["qid", "ord"]).select("qid", "key", "rank0", F.col("whole").alias("score"), "ord")
 
 
 def hybrid_passages(index: Index, questions: DataFrame, qid: str, text: str, blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """qid, rank, key, score, keyword_score: the k first of the fusion of keyword and vector ranking over all passages; ties in keyword order. blocks:
     vector_blocks() of all passages by key; asked(qid, vector). Keys and orders are long."""
     d = depth(k)
-    hits = stored(keyword_scores(index, questions, qid, text), "hits")
     ids = questions.select(F.col(qid).alias("qid")).distinct()
-    first = best(hits, d).select("qid", "key")
+    first = best_keyword_scores(index, questions, qid, text, d).select("qid", "key")
     short = ids.join(first.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < d).select("qid")
     fill = short.crossJoin(F.broadcast(index.first(2 * d).select("key")))  # places that no hit takes: 2 d passages at most
     near = vectors.nearest(blocks, asked, d).select("qid", "key")
     keys = stored(first.unionByName(fill).unionByName(near).distinct(), "fusion-candidates")
-    known = keys.join(index.passages.select("key", "ord"), "key").join(hits.select("qid", "key", "score"), ["qid", "key"], "left")
-    words = keyword_places(hits, index.passages, known).withColumnRenamed("rank0", "kw_rank").withColumnRenamed("score", "keyword_score")
+    scores = keyword_scores(index, questions, qid, text, keys).select("qid", "key", "score")
+    known = keys.join(index.passages.select("key", "ord"), "key").join(scores, ["qid", "key"], "left")
+    words = keyword_places(ask(index, questions, qid, text), known, questions.schema[qid].dataType.simpleString()).withColumnRenamed("rank0", "kw_rank").withColumnRenamed("score", "keyword_score")
     dense = vectors.places(blocks, asked, keys).select("qid", "key", F.col("rank0").alias("dn_rank"))
     both = words.join(dense, ["qid", "key"]).withColumn("score", reciprocal_rank(F.col("kw_rank")) + reciprocal_rank(F.col("dn_rank")))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", DIGITS)), "kw_rank", "ord")
