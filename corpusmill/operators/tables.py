@@ -5,7 +5,11 @@ Rows keep their columns as an ordered array of key and value, because tables of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number
@@ -15,28 +19,60 @@ from ..storage import numbered
 ENTRIES = "array<struct<key:string,value:string>>"
 
 
-def _cells(line: Column) -> Column:
-    inner = F.regexp_replace(strip(line), r"^\|+|\|+$", "")
-    return F.transform(F.split(inner, r"\|"), strip)
+#: White space and line ends as functions.text.strip() and its patterns count them; a separator line, which a line end of another kind may follow.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END, RULE = re.compile(r"\r\n|[\n\r\x0b\f]"), re.compile(r"[-: ]*[\x85\u2028\u2029]?\Z")
+#: Rows of tables in a batch.
+ROWS = 4096
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip(BLANKS) for c in line.strip(BLANKS).strip("|").split("|")]
+
+
+def _tables(text: str | None) -> Iterator[tuple[list[str], list[str]]]:
+    """(heads, cells) of each row of each table in a text, line by line. The head of a run of lines with bars is its first one that a separator
+    follows; what comes two lines later are its rows, up to the run's end."""
+    lines = LINE_END.split(text) if text is not None else []
+    head, keys = None, []
+    for n, line in enumerate(lines):
+        if not line.lstrip(BLANKS).startswith("|"):
+            head = None
+        elif head is None:
+            if n + 1 < len(lines) and RULE.match(lines[n + 1].strip(" ").replace("|", "")):
+                head, keys = n, _cells(line)
+        elif n > head + 1:
+            yield keys, _cells(line)
 
 
 def pipe_rows(docs: DataFrame) -> DataFrame:
     """doc, row_no (from 0, over all tables of a document), entries of docs(doc, text). A table is a line that begins with a bar, a separator
-    line, and the lines with bars after it. Short rows are filled with empty cells, long ones cut; what else stands there is left out."""
-    lines = docs.select("doc", F.posexplode(F.split("text", r"\r\n|[\n\r\x0B\f]")).alias("line_no", "line"))
-    order = Window.partitionBy("doc").orderBy("line_no")
-    bar = strip(F.col("line")).startswith("|")
-    lines = lines.withColumn("bar", bar).withColumn("rule", F.regexp_replace(F.trim("line"), r"\|", "").rlike(r"^[-: ]*$"))
-    lines = lines.withColumn("run", F.sum(F.when(F.col("bar"), 0).otherwise(1)).over(order))
-    lines = lines.withColumn("next_rule", F.coalesce(F.lead("rule").over(order), F.lit(False)))
-    # The head of a run is its first line that a separator follows; what comes two lines later are its rows, up to the run's end.
-    head = F.min(F.when(F.col("bar") & F.col("next_rule"), F.col("line_no"))).over(Window.partitionBy("doc", "run"))
-    lines = lines.withColumn("head_no", head).filter("bar and head_no is not null and (line_no = head_no or line_no > head_no + 1)")
-    keys = F.max(F.when(F.col("line_no") == F.col("head_no"), _cells(F.col("line")))).over(Window.partitionBy("doc", "run"))
-    rows = lines.withColumn("keys", keys).filter("line_no > head_no").withColumn("cells", _cells(F.col("line")))
-    value = lambda k, i: F.struct(k.alias("key"), F.coalesce(F.get("cells", i), F.lit("")).alias("value"))
-    rows = rows.withColumn("entries", F.transform("keys", value))
-    return rows.select("doc", (F.row_number().over(order) - 1).alias("row_no"), "entries")
+    line, and the lines with bars after it. Short rows are filled with empty cells, long ones cut; what else stands there is left out. Texts are read
+    where they lie, one after another, so nothing is sorted; a doc that repeats is a document of its own each time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, numbers, keys, values, ends = [], [], [], [], [0]
+
+            def out() -> pa.RecordBatch:
+                entries = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], names=["key", "value"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), lists], names=["doc", "row_no", "entries"])
+
+            for i, text in enumerate(batch.column(1)):
+                for row_no, (heads, cells) in enumerate(_tables(text.as_py())):
+                    at.append(i)
+                    numbers.append(row_no)
+                    keys += heads
+                    values += (cells + [""] * (len(heads) - len(cells)))[: len(heads)]
+                    ends.append(len(keys))
+                    if len(at) == ROWS:
+                        yield out()
+                        at, numbers, keys, values, ends = [], [], [], [], [0]
+            if at:
+                yield out()
+
+    return docs.select("doc", "text").mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, row_no int, entries {ENTRIES}")
 
 
 def as_map(entries: Column) -> Column:

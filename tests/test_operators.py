@@ -151,6 +151,15 @@ def test_objectives(spark):
     assert rows[7]["s"]["score"] == 1.0
 
 
+def test_pipe_tables_are_read_without_sorting(spark):
+    df = spark.createDataFrame([("d", "\u2003| A | B |\r\n|-|:-:|\u2028\n|| 1 | x |\x0b| 2\n\n| C |\n\n| lone |"), ("n", None)], "doc string, text string")
+    rows = tables.pipe_rows(df)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and "Exchange" not in plan
+    got = [(r["doc"], r["row_no"], [tuple(e) for e in r["entries"]]) for r in rows.collect()]
+    assert got == [("d", 0, [("A", "1"), ("B", "x")]), ("d", 1, [("A", "2"), ("B", "")])]
+
+
 def test_pipe_tables(spark):
     a = "| Year | Count | Note |\n|---|---|---|\n| 2020 | 1 234,5 | x |\n| 2021 | 7 |\n| | 3 | |\n| 2020 | 9 | y | extra |\n\ntext | no\n\n| B | C |\n|:-:|-|\n| k | n/a |"
     df = spark.createDataFrame([("d", a), ("e", "no table"), ("f", "| lone |")], "doc string, text string")
