@@ -100,3 +100,11 @@ def test_checks_look_once(spark):
     df = spark.createDataFrame([("x",)], "t string").select(validation.summary_errors_a(F.col("t")))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 2 < len(validation.BANNED)  # not once a term
+
+
+def test_rules_behind_the_last_one_asked_for_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "Dr Ada Li, b@y.org, +1 (438) 555-5817"), (2, None)], "doc long, text string")
+    found = privacy.find_identifiers(docs, last="EMAIL")
+    assert "Prof" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [[f["original"] for f in r["finds"]] for r in found.orderBy("doc").collect()] == [["b@y.org"], []]
+    assert [len(r["finds"]) for r in privacy.find_identifiers(docs).orderBy("doc").collect()] == [3, 0]
