@@ -117,3 +117,12 @@ def test_payload_errors(spark):
 def test_first_small_object(spark):
     got = values(spark, ['x {"tool": "convert"} {"tool": "b"}', "none"], lambda x: payload.first_small_object(x, {"tool": "", "target": "t"}))
     assert (got[0]["tool"], got[0]["target"], got[1]) == ("convert", "t", None)
+
+
+def test_the_first_distinct_elements_are_found_without_comparing_all(spark):
+    rows = [["B", "b", "a", None, "A", "É", "é", "c"], [], None, ["x"] * 9, ["1", "2", "3", "4"]]
+    df = spark.createDataFrame([(r,) for r in rows], "x array<string>")
+    got = df.select(text.distinct_ignoring_case(F.col("x"), 3))
+    assert "array_position" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r[0] for r in got.collect()] == [["B", "a", "É"], [], None, ["x"], ["1", "2", "3"]]
+    assert [r[0] for r in df.select(F.slice(text.distinct_ignoring_case(F.col("x")), 1, 3)).collect()] == [["B", "a", "É"], [], None, ["x"], ["1", "2", "3"]]
