@@ -97,7 +97,8 @@ def chart_groups(flat: DataFrame) -> DataFrame:
 
 
 def category_order(groups: DataFrame) -> DataFrame:
-    """category, place: all categories by first appearance, documents in order of their names."""
+    """category, place: all categories by first appearance, documents in order of their names. groups(doc, category, first_seen) are those of
+    chart_groups(), or rows of a dataset as they are: a category's first row is the first of its groups."""
     first = groups.groupBy("category").agg(F.min(F.struct("doc", "first_seen")).alias("first"))
     return numbered(first, [F.col("first")], "place").select("category", "place")
 

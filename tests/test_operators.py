@@ -224,3 +224,14 @@ def test_numbers_over_ranges(spark):
     for r in numbered(df, [F.desc("v")], "n", "g").collect():
         by.setdefault(r["g"], {})[r["n"]] = r["v"]
     assert all([v[i] for i in range(1, len(v) + 1)] == sorted(v.values(), reverse=True) for v in by.values())
+
+
+def test_categories_are_ordered_without_groups_by_document(spark, monkeypatch):
+    from corpusmill.plans import queries_more
+
+    made, whole = [], tables.numbered
+    monkeypatch.setattr(tables, "numbered", lambda df, *rest: made.append(df) or whole(df, *rest))
+    assert sorted(r["place"] for r in queries_more.category_order(spark, "/root/testdata/sf0.001").collect()) == list(range(1, 8))
+    assert "max_by" not in (plan := made[0]._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(doc" not in plan.split("MapInArrow")[0]
+    df = spark.createDataFrame([("e", "k", 0), ("d", "m", 7), ("d", "k", 9), ("d", "m", 2)], "doc string, category string, first_seen int")
+    assert [r["category"] for r in tables.category_order(df).orderBy("place").collect()] == ["m", "k"]
