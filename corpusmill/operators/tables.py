@@ -90,10 +90,12 @@ def dataset(rows: DataFrame) -> DataFrame:
     return out.filter("category <> '' and size(numeric) > 0")
 
 
-def chart_groups(flat: DataFrame) -> DataFrame:
-    """doc, category, value, first_seen of a dataset: the first number of each row; a category that a document repeats keeps the last."""
-    number = F.get("numeric", F.lit(0))["number"]
-    return flat.groupBy("doc", "category").agg(F.max_by(number, "row_no").alias("value"), F.min("row_no").alias("first_seen"))
+def chart_groups(flat: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc, category, value, first_seen of a dataset: the first number of each row; a category that a document repeats keeps the last. Given parts
+    (storage.parts_of), documents are dealt to so many partitions, once for this and for what groups by document after it."""
+    rows = flat.select("doc", "category", "row_no", F.get("numeric", F.lit(0))["number"].alias("number"))
+    rows = rows.repartition(parts, "doc") if parts else rows
+    return rows.groupBy("doc", "category").agg(F.max_by("number", "row_no").alias("value"), F.min("row_no").alias("first_seen"))
 
 
 def category_order(groups: DataFrame) -> DataFrame:

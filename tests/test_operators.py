@@ -235,3 +235,15 @@ def test_categories_are_ordered_without_groups_by_document(spark, monkeypatch):
     assert "max_by" not in (plan := made[0]._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(doc" not in plan.split("MapInArrow")[0]
     df = spark.createDataFrame([("e", "k", 0), ("d", "m", 7), ("d", "k", 9), ("d", "m", 2)], "doc string, category string, first_seen int")
     assert [r["category"] for r in tables.category_order(df).orderBy("place").collect()] == ["m", "k"]
+
+
+def test_lines_are_dealt_by_their_number(spark, monkeypatch):
+    from corpusmill import storage
+    from corpusmill.plans import queries_more
+
+    monkeypatch.setattr(storage, "PART_ROWS", 300)  # of some 6,000 lines
+    dealt = queries_more._markdown(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).agg(F.count("*"))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(doc" in plan
+    wanted = storage.parts_of(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
+    assert wanted >= 20 and wanted - 3 <= dealt.count() <= wanted
