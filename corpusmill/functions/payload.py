@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_STATED, distinct_ignoring_case, flatten, squeeze, strip, strip_think
+from .text import NOT_STATED, begins_with, distinct_ignoring_case, flatten, once, squeeze, strip, strip_think
 
 #: The fields of a summary record, and words that mean a value is missing.
 META_FIELDS = ("title", "issuing_body", "country_or_region", "year", "document_type")
@@ -22,10 +22,9 @@ def json_object_text(x: Column, profile: str = "a") -> Column:
     """The text of the JSON value in a reply, null where none parses. Profile a strips tags and fences first; both then try the whole and
     what lies between the first and the last brace; b takes objects only."""
     t = unfenced(x) if profile == "a" else F.coalesce(x, F.lit(""))
-    inner = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & (strip(c) != ""), c)
-    found = F.coalesce(valid(t), valid(inner))
-    return F.when(strip(found).startswith("{"), found) if profile == "b" else found
+    valid = lambda x: once(x, lambda c: F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"(?U)\S"), c))
+    found = once(t, lambda c: F.coalesce(valid(c), valid(F.regexp_extract(c, r"(?s)\{.*\}", 0))))
+    return once(found, lambda c: F.when(begins_with(c, "{"), c)) if profile == "b" else found
 
 
 def parse_error(x: Column) -> Column:
@@ -41,20 +40,18 @@ def first_small_object(x: Column, fields: dict[str, str]) -> Column:
 
 
 def is_object(json: Column) -> Column:
-    return F.coalesce(strip(json).startswith("{"), F.lit(False))
+    return F.coalesce(begins_with(json, "{"), F.lit(False))
 
 
 def _list_or_text(json: Column, key: str, glue: str) -> Column:
-    raw = F.get_json_object(json, f"$.{key}")
-    items = F.from_json(raw, "array<string>")
-    return F.when(strip(raw).startswith("["), F.array_join(items, glue)).otherwise(raw)
+    joined = lambda raw: F.when(begins_with(raw, "["), F.array_join(F.from_json(raw, "array<string>"), glue)).otherwise(raw)
+    return once(F.get_json_object(json, f"$.{key}"), joined)
 
 
 def meta_field(json: Column, key: str, profile: str = "a") -> Column:
     """A field on one line; missing gives the sentinel, and in profile a so does a word that means missing."""
-    value = flatten(_list_or_text(json, key, ", "))
-    absent = value == "" if profile == "b" else (value == "") | F.lower(value).isin(*MISSING)
-    return F.when(absent, F.lit(NOT_STATED)).otherwise(value)
+    absent = lambda value: value == "" if profile == "b" else (value == "") | F.lower(value).isin(*MISSING)
+    return once(flatten(_list_or_text(json, key, ", ")), lambda value: F.when(absent(value), F.lit(NOT_STATED)).otherwise(value))
 
 
 def raw_summary(json: Column) -> Column:
@@ -64,8 +61,8 @@ def raw_summary(json: Column) -> Column:
 def keyword_list(json: Column, profile: str = "a") -> Column:
     """All keywords, cleaned: from a list or from text split at commas and semicolons. Profile a strips full stops and drops repeats whatever
     their case; b only squeezes."""
-    raw = F.get_json_object(json, "$.keywords")
-    items = F.coalesce(F.when(strip(raw).startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, "[;,]")), F.array().cast("array<string>"))
+    split = lambda raw: F.when(begins_with(raw, "["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, "[;,]"))
+    items = F.coalesce(once(F.get_json_object(json, "$.keywords"), split), F.array().cast("array<string>"))
     if profile == "b":
         return F.filter(F.transform(items, lambda k: F.coalesce(squeeze(k), F.lit(""))), lambda k: k != "")
     clean = F.transform(items, lambda k: F.regexp_replace(flatten(k), r"^[ .]+|[ .]+$", ""))
@@ -74,6 +71,9 @@ def keyword_list(json: Column, profile: str = "a") -> Column:
 
 def summary_record(json: Column, profile: str = "a") -> Column:
     """Struct of the fields, the summary on one line and at most five keywords; null for anything but an object."""
-    fields = [meta_field(json, k, profile).alias(k) for k in META_FIELDS]
-    record = F.struct(*fields, flatten(raw_summary(json)).alias("summary"), F.slice(keyword_list(json, profile), 1, 5).alias("keywords"))
-    return F.when(is_object(json), record)
+
+    def record(j: Column) -> Column:
+        fields = [meta_field(j, k, profile).alias(k) for k in META_FIELDS]
+        return F.when(is_object(j), F.struct(*fields, flatten(raw_summary(j)).alias("summary"), F.slice(keyword_list(j, profile), 1, 5).alias("keywords")))
+
+    return once(json, record)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number
-from ..functions.text import squeeze, strip
+from ..functions.text import begins_with, once, squeeze, strip
 from ..storage import numbered
 
 ENTRIES = "array<struct<key:string,value:string>>"
@@ -77,8 +77,8 @@ def pipe_rows(docs: DataFrame) -> DataFrame:
 
 def as_map(entries: Column) -> Column:
     """Entries as a map; of equal keys the last counts."""
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["key"] == e["key"]))
-    return F.map_from_entries(last)
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda f: f["key"] == e["key"]))
+    return F.map_from_entries(once(entries, last))
 
 
 def dataset(rows: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def pivot_groups(groups: DataFrame, categories: list[str]) -> DataFrame:
 def parse_summary_a(text: Column) -> Column:
     """Struct(title, fields, summary, keywords) of a rendered record: title line, two-cell rows (escaped bars kept), sections up to a rule."""
     title = F.nullif(strip(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit(""))
-    line = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: strip(x).startswith("|")), strip)
+    line = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: begins_with(x, "|")), strip)
     inside = lambda x: F.transform(F.split(F.substring(x, F.lit(2), F.length(x) - 2), r"(?<!\\)\|"), strip)
     rows = F.filter(F.transform(line, inside), lambda c: (F.size(c) == 2) & ~c[0].isin("Field", "") & ~c[0].rlike("^[-: ]+$"))
     fields = as_map(F.transform(rows, lambda c: F.struct(c[0].alias("key"), F.replace(c[1], F.lit("\\|"), F.lit("|")).alias("value"))))
@@ -124,10 +124,9 @@ def parse_summary_a(text: Column) -> Column:
 def _section(text: Column, name: str) -> Column:
     """The last section of this name, to the next head or rule; null where there is none."""
     blocks = F.split(F.concat(F.lit("\n"), text), r"(?m)^##\s+")
-    blocks = F.slice(blocks, F.lit(2), F.size(blocks))
-    mine = F.filter(blocks, lambda b: F.lower(strip(F.substring_index(b, "\n", 1))) == name)
-    body = F.regexp_replace(F.element_at(mine, -1), r"^[^\n]*\n?", "")
-    return F.when(F.size(mine) > 0, strip(F.element_at(F.split(body, r"(?m)^\s*---\s*$", 2), 1)))
+    mine = F.filter(blocks, lambda b, i: (i > 0) & (F.lower(strip(F.substring_index(b, "\n", 1))) == name))
+    last = once(mine, lambda m: F.when(F.size(m) > 0, F.element_at(m, -1)))
+    return strip(F.element_at(F.split(F.regexp_replace(last, r"^[^\n]*\n?", ""), r"(?m)^\s*---\s*$", 2), 1))
 
 
 def parse_summary_b(text: Column, labels: tuple[str, ...]) -> Column:

@@ -247,3 +247,27 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(doc" in plan
     wanted = storage.parts_of(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
     assert wanted >= 20 and wanted - 3 <= dealt.count() <= wanted
+
+
+def test_records_are_taken_from_json_once(spark):
+    from corpusmill.functions import payload
+
+    reply = ' {"title": ["A", " B "], "issuing_body": "N/A", "year": 2024, "summary": ["One.", "Two."], "keywords": ["a.", "b", "A", null, "c"]} \n'
+    df = spark.createDataFrame([(0, reply), (1, f"so: {reply} end"), (2, " "), (3, None), (4, "[1]"), (5, '{"keywords": "x; y, X", "title": null}')], "i int, t string")
+    out = df.select("i", payload.summary_record(payload.json_object_text(F.col("t"))).alias("r"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("static_invoke(Variant") == 2 and plan.count("get_json_object") == 7
+    got = [tuple(r["r"]) if r["r"] else None for r in out.orderBy("i").collect()]
+    none = "Not stated"
+    first = ("A, B", none, none, "2024", none, "One. Two.", ["a", "b", "c"])
+    assert got == [first, first, None, None, None, (none, none, none, none, none, "", ["x", "y"])]
+
+
+def test_parts_of_a_record_are_read_once(spark):
+    text = "# T\n| Field | Value |\n|---|---|\n| Year | 1 |\n | Year | a\\|b |\n|x|\n## Summary\nold\n## summary \n\n new \n---\n## Keywords\n a; ;b\n"
+    df = spark.createDataFrame([(0, text), (1, "## x"), (2, None)], "i int, t string")
+    out = df.select("i", tables.parse_summary_a(F.col("t")).alias("p"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(t#") + plan.count("split(concat(") <= 3
+    got = [(r["p"]["title"], r["p"]["fields"], r["p"]["summary"], r["p"]["keywords"]) for r in out.orderBy("i").collect()]
+    assert got == [("T", {"Year": "a|b"}, "new", ["a", "b"]), (None, {}, None, None), (None, None, None, None)]
