@@ -1,11 +1,13 @@
 """Loops with the mock backends, sources and sinks on files."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import payload
-from corpusmill.operators import chunks, tables, validation
-from corpusmill.plans import loops, models
+from corpusmill.operators import chunks, retrieval, tables, validation
+from corpusmill.plans import loops, models, queries_more
 from corpusmill.sources import files, pdf, sinks
 
 
@@ -30,6 +32,32 @@ def test_answer_status(spark):
     assert got == {1: ("answered", 2), 2: ("refused_by_model", 1), 3: ("refused_failed_verification", 2), 4: ("error", 1), 5: ("refused_no_evidence", 0)}
 
 
+def test_questions_are_asked_over_whole_passages(spark, tmp_path, monkeypatch):
+    """What tells lies at the end of passages of up to 65,000 characters; the prompts of both attempts hold every character of all of them."""
+    texts = {i: f"{'filler words ' * n} the granary of tamarisk number {i} opened in autumn {i}" for i, n in enumerate((380, 5000, 0, 77), 1)}
+    spark.createDataFrame([(i, t, "src", "en") for i, t in texts.items()], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = range(40)
+    spark.createDataFrame([(i, "granary of tamarisk opened in autumn") for i in ids], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "user", "said") for i in ids for t in (1, 3)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen, replay = [], models.replay
+
+    def recorded(replies):
+        backend = replay(replies)
+
+        def run(prompts):
+            seen.extend((r["attempt"], r["prompt"]) for r in prompts.collect())
+            return backend(prompts)
+
+        return run
+
+    monkeypatch.setattr(models, "replay", recorded)
+    monkeypatch.setattr(retrieval, "gate", partial(retrieval.gate, least_score=0.0, least_coverage=0.0))
+    rows = queries_more.answers_with_retry(spark, str(tmp_path)).collect()
+    assert len(rows) == 40 and {a for a, _ in seen} == {1, 2} and len(seen) > 40
+    for _, prompt in seen:
+        assert sorted(p.partition("src / en\n")[2] for p in prompt.partition("\n\nQuestion: ")[0].split("\n\n") if p[:2] == "[S") == sorted(texts.values())
+
+
 def test_control_loop(spark):
     state = spark.createDataFrame([("b.pdf", False, False, False), ("a.pdf", True, False, False)], "source string, converted boolean, summarised boolean, tables boolean")
     worker = loops.Worker({s: (lambda todo: todo.withColumn("output", F.lit("x"))) for s in loops.STAGES})
